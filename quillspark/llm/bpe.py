@@ -27,7 +27,9 @@ from .common import text_rows, worker_cache
 LONG = 256
 LEAF = 128
 #: Stretches kept by a worker; all are let go when it has so many.
-KEPT = 400_000
+KEPT = 700_000
+#: Stretches whose characters lower-case and fall into pieces alike here and in the library: ASCII and composed Latin letters.
+SIMPLE = re.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017f]+")
 #: White space for Python but not for the library's patterns.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -53,6 +55,9 @@ class Encoder:
         self.special_ids = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         self.token = self.whole.id_to_token
+        self.pieces = self._own_pieces(spec)
+        self.byte_level = _byte_level()
+        self.kept: dict[str, list[int]] = {}
         self.pool: ThreadPoolExecutor | None = None
 
     def leaf(self, piece: str, last: bool) -> list[tuple[str, int]]:
@@ -95,15 +100,55 @@ class Encoder:
                     ids += [i for _, i in self.tree(piece)] if len(piece) > LONG else [t.id for t in self.final.tokenize(piece)]
         return ids
 
+    @staticmethod
+    def _own_pieces(spec: dict):
+        """The file's piece pattern for SIMPLE stretches, if the file has the parts for which that is exact."""
+        import regex
+
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in parts] != ["Split", "ByteLevel"] or parts[1].get("use_regex") or parts[1].get("add_prefix_space"):
+            return None
+        return regex.compile(parts[0]["pattern"]["Regex"]).findall if parts[0]["invert"] and parts[0]["behavior"] == "Removed" else None
+
+    def simple(self, stretch: str) -> list[int]:
+        """Ids of a SIMPLE stretch, piece by piece; pieces are kept, as many stretches share them."""
+        ids: list[int] = []
+        for piece in self.pieces(stretch.lower()):
+            got = self.kept.get(piece)
+            if got is None:
+                got = [t.id for t in self.final.tokenize(piece if piece.isascii() else "".join([self.byte_level[b] for b in piece.encode()]))]
+                if len(self.kept) >= KEPT:
+                    self.kept.clear()
+                self.kept[piece] = got
+            ids += got
+        return ids
+
     def encode(self, stretches: list[str]) -> list[list[int]]:
-        short = [s for s in stretches if len(s) <= LONG]
-        done = iter(self.whole.encode_batch_fast(short, add_special_tokens=False))
-        return [next(done).ids if len(s) <= LONG else self.long(s) for s in stretches]
+        out: list = [None] * len(stretches)
+        rest = []
+        for k, s in enumerate(stretches):
+            if len(s) > LONG:
+                out[k] = self.long(s)
+            elif self.pieces and SIMPLE.fullmatch(s) and not (self.special and self.special.search(s)):
+                out[k] = self.simple(s)
+            else:
+                rest.append(k)
+        for k, e in zip(rest, self.whole.encode_batch_fast([stretches[k] for k in rest], add_special_tokens=False)):
+            out[k] = e.ids
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return self.whole.decode(ids, skip_special_tokens=False)
 
 
+def _byte_level() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones stand for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
+
+
 def encoder(path: str) -> Encoder:
     cache = worker_cache("bpe")
     if path not in cache:
@@ -120,6 +165,11 @@ def encoded(texts: list[str], path: str) -> Iterator[tuple[str, str]]:
     enc = encoder(path)
     plain = worker_cache("bpe-plain").setdefault(path, json.loads(enc.whole.to_str()).get("decoder") is None)
     cache = worker_cache(f"bpe-stretches-{path}")
+    names = worker_cache(f"bpe-names-{path}")
+    if not names:
+        names.update({k: str(k) for k in range(enc.whole.get_vocab_size())})
+        names["token"] = [enc.token(k) for k in range(enc.whole.get_vocab_size())]
+    token = names["token"]
     for text in texts:
         stretches = text.split() if not ODD_SPACE.search(text) else re.split(r"[ \t\n\r\f\v]+", text)
         missing = list({s for s in stretches if s and s not in cache})
@@ -128,7 +178,7 @@ def encoded(texts: list[str], path: str) -> Iterator[tuple[str, str]]:
                 cache.clear()
                 missing = list({s for s in stretches if s})
             for s, ids in zip(missing, enc.encode(missing)):
-                cache[s] = (" ".join(map(str, ids)), " ".join(map(enc.token, ids)))
+                cache[s] = (" ".join([names[i] for i in ids]), " ".join([token[i] for i in ids]))
         got = [cache[s] for s in stretches if s]
         ids = " ".join([a for a, _ in got if a])
         yield ids, " ".join([b for _, b in got if b]) if plain else enc.decode([int(i) for i in ids.split()])
