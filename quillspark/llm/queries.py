@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html, jaccard, language, quality, vectors
+from . import bpe, chat, decontaminate, html, jaccard, language, quality, substrings, vectors
 from .common import table
 
 
@@ -39,6 +39,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.selectExpr("doc_id", "text", "char_length(text) AS n_chars", "removed_chars", "n_spans", "n_spans > 0 AS changed")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_bpe, op4_language_id, op5_chat_format, op6_html_extract, op7_decontaminate, op9_jaccard_join, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_bpe, op4_language_id, op5_chat_format, op6_html_extract, op7_decontaminate, op8_substring_dedup, op9_jaccard_join, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
