@@ -209,3 +209,19 @@ def digest_documents(documents: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for *_, n in got], pa.int64()), pa.array([a for a, *_ in got], pa.string()), pa.array([b for _, b, _ in got], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return text_rows(documents).mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_ids(documents: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids (array) of every whole text: what training reads."""
+    import numpy as np
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                got = [np.array(ids.split(), dtype=np.int32) for ids, _ in encoded(part.column(1).to_pylist(), path)]
+                size = np.array([len(x) for x in got], dtype=np.int64)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.concatenate(got)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), ids], ["doc_id", "n_tokens", "ids"])
+
+    return text_rows(documents).mapInArrow(rows, "doc_id long, n_tokens long, ids array<int>")

@@ -238,3 +238,19 @@ def score_documents(documents: DataFrame, labels: DataFrame, threshold: float =
     scratch = Scratch(documents.sparkSession, "quality")
     stats = scratch.save(document_statistics(documents), "stats")
     return apply(stats, fit(stats, labels), threshold).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def filter_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The documents whose score reaches the threshold, with all their columns; texts are scored where they are, without a shuffle."""
+    scratch = Scratch(documents.sparkSession, "quality")
+    model = fit(scratch.save(document_statistics(documents), "stats"), labels)
+    scratch.drop()
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = [shared.value.score(statistics(data, offsets)) for _, data, offsets in chunks(batch)]
+            if score:
+                yield batch.filter(pa.array(np.concatenate(score) >= threshold))
+
+    return documents.mapInArrow(kept, documents.schema)

@@ -52,8 +52,14 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_bpe, op4_language_id, op5_chat_format, op6_html_extract, op7_decontaminate, op8_substring_dedup, op9_jaccard_join, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_bpe, op4_language_id, op5_chat_format, op6_html_extract, op7_decontaminate, op8_substring_dedup, op9_jaccard_join, op10_embedding_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
