@@ -34,7 +34,6 @@ from .graph import components
 HEAVY_KEPT = 200_000
 #: Nodes of a leader that meet in one tile.
 TILE = 1024
-BITS = 2048
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -57,9 +56,15 @@ def prefix(s: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate((s[~is_heavy], s[is_heavy]))[:length]
 
 
+def bits_for(size: int) -> int:
+    """Bits of the bitmap of a set: two to four for each element."""
+    return min(1 << 20, max(256, 1 << (2 * size - 1).bit_length()))
+
+
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """Bit h modulo bits is set for each hash h; halves of a bitmap fold onto one another."""
     out = np.zeros(bits // 64, dtype=np.uint64)
-    at = (s >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    at = (s & np.uint64(bits - 1)).astype(np.int64)
     np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
     return out
 
@@ -74,11 +79,21 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
+def may_link(x: np.ndarray, nx: int, y: np.ndarray, ny: int, percent: int) -> bool:
+    """Whether the bitmaps of two sets let them link."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    px, py, common = (int(np.bitwise_count(v).sum()) for v in (x, y, x & y))
+    return common + min(nx - px, ny - py) >= needed(nx, ny, percent)
+
+
 def tile_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join the sets of a tile into their components."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     sizes = np.array([len(sets[k]) for k in order])
-    bits = min(1 << 15, max(256, 1 << int(2 * np.median(sizes)).bit_length()))
+    bits = bits_for(int(np.median(sizes)))
     maps = np.array([bitmap(sets[k], bits) for k in order])
     spare = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)  # elements beyond one a bit
     component = np.arange(len(sets))
@@ -215,7 +230,7 @@ def links(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5)
                 rest = batch.slice(part.start, len(sets))
                 keep = [k for k, (s, node) in enumerate(zip(sets, rest.column(2).to_pylist())) if fingerprint(s) == node]  # a repeated id may have another text
                 at = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([rest.column(0).take(at), rest.column(2).take(at), pa.array([len(sets[k]) for k in keep], pa.int64()), pa.array([bitmap(sets[k], BITS).tobytes() for k in keep], pa.binary()), rest.column(1).take(at)], ["doc_id", "node", "size", "bits", "text"])
+                yield pa.RecordBatch.from_arrays([rest.column(0).take(at), rest.column(2).take(at), pa.array([len(sets[k]) for k in keep], pa.int64()), pa.array([bitmap(sets[k], bits_for(len(sets[k]))).tobytes() for k in keep], pa.binary()), rest.column(1).take(at)], ["doc_id", "node", "size", "bits", "text"])
 
     nodes = scratch.save(texts.join(reps_alive, "doc_id").select("doc_id", "text", "node").mapInArrow(described, "doc_id long, node long, size long, bits binary, text string"), "nodes")
 
@@ -267,11 +282,9 @@ def links(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5)
     def bounded(batches):
         """Pairs whose bitmaps let them link."""
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1) for k in (2, 4))
-            sx, sy = b.column(3).to_numpy(), b.column(5).to_numpy()
-            pop = lambda v: np.bitwise_count(v).sum(axis=1, dtype=np.int64)
-            ok = pop(x & y) + np.minimum(sx - pop(x), sy - pop(y)) >= needed(sx, sy, percent)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in b.columns[:2]], ["a", "b"])
+            x, nx, y, ny = (b.column(k).to_pylist() for k in (2, 3, 4, 5))
+            ok = [may_link(np.frombuffer(p, dtype=np.uint64), m, np.frombuffer(q, dtype=np.uint64), k, percent) for p, m, q, k in zip(x, nx, y, ny)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
 
     light = nodes.select("doc_id", "bits", "size")
     maybe = pairs.join(light.toDF("a", "bits_a", "size_a"), "a").join(light.toDF("b", "bits_b", "size_b"), "b").select("a", "b", "bits_a", "size_a", "bits_b", "size_b").mapInArrow(bounded, "a long, b long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html, jaccard, language, quality, substrings, vectors
+from . import bpe, chat, decontaminate, html, jaccard, katz, language, quality, substrings, vectors
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -59,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_bpe, op4_language_id, op5_chat_format, op6_html_extract, op7_decontaminate, op8_substring_dedup, op9_jaccard_join, op10_embedding_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_katz_lm, op3_bpe, op4_language_id, op5_chat_format, op6_html_extract, op7_decontaminate, op8_substring_dedup, op9_jaccard_join, op10_embedding_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
