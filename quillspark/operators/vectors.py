@@ -1,14 +1,17 @@
-"""Vector scoring and exact top-k retrieval."""
+"""Vector scoring and exact retrieval: top-k, two-stage, page scores, lexical scores, rank fusion."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def _col(x: str | Column) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
 def dot(a: str | Column, b: str | Column) -> Column:
     """Dot product in double precision."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(a: str | Column) -> Column:
@@ -26,16 +29,85 @@ def score(metric: str, v: Column, q: Column) -> Column:
     raise ValueError(f"unknown metric {metric}")
 
 
-def topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "dot", digits: int = 6, scope: list[str] | None = None) -> DataFrame:
-    """query_id, id, score, rank of the k best vectors (id, v) for each query (query_id, q); ties go to the smaller id.
-
-    scope: columns that both sides share and that have to be equal.  Scoring keeps ids and vectors only; payload is
-    joined afterwards.  Spark cuts each partition to k rows a query before the shuffle (WindowGroupLimit).
-    """
+def best(rows: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
+    """The first k rows of each group, ranked from 1.  Spark keeps k rows a group in each partition before it shuffles."""
     if k < 1:
         raise ValueError("k has to be at least 1")
-    on = scope or []
-    pairs = vectors.join(queries, on) if on else vectors.crossJoin(queries)
-    scored = pairs.where(F.size("v") == F.size("q")).select("query_id", "id", F.round(score(metric, F.col("v"), F.col("q")), digits).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
+
+
+def scored(vectors: DataFrame, queries: DataFrame, metric: str = "dot", digits: int = 6, scope: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """query_id, id, score of all vectors (id, v) for the stated query set (query_id, q).
+
+    scope: columns that both sides share and that have to be equal.  Vectors of another length than the query's are left out.
+    """
+    pairs = vectors.join(queries, scope) if scope else vectors.crossJoin(queries)
+    return pairs.where(F.size("v") == F.size("q")).select("query_id", "id", *(keep or []), F.round(score(metric, F.col("v"), F.col("q")), digits).alias("score"))
+
+
+def topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "dot", digits: int = 6, scope: list[str] | None = None, above: float | None = None) -> DataFrame:
+    """query_id, id, score, rank of the k best vectors for each query; ties go to the smaller id; above: strict threshold after the cut."""
+    out = best(scored(vectors, queries, metric, digits, scope), ["query_id"], [F.desc("score"), F.asc("id")], k)
+    return out if above is None else out.where(F.col("score") > above)
+
+
+def two_stage(files: DataFrame, chunks: DataFrame, queries: DataFrame, files_k: int = 7, chunks_k: int = 3, above: float = 0.32) -> DataFrame:
+    """Best files (id, v) first, then the best chunks (id, file_id, v) of each; the threshold holds after the cut within a file."""
+    chosen = topk(files, queries, files_k).select("query_id", F.col("id").alias("file_id"))
+    pairs = chunks.join(F.broadcast(chosen.join(queries, "query_id")), "file_id")  # files_k rows a query
+    ranked = best(pairs.select("query_id", "file_id", "id", F.round(dot("v", "q"), 6).alias("score")), ["query_id", "file_id"], [F.desc("score"), F.asc("id")], chunks_k, "file_rank")
+    return ranked.where(F.col("score") > above)
+
+
+def page_scores(chunk_scores: DataFrame, how: str = "max") -> DataFrame:
+    """Chunk scores (query_id, page_id, score) to pages, by max, sum or mean."""
+    agg = {"max": F.max, "sum": F.sum, "mean": F.avg}[how]
+    return chunk_scores.groupBy("query_id", "page_id").agg(F.round(agg("score"), 6).alias("score"))
+
+
+def tokens(text: str | Column) -> Column:
+    """Lower-cased words between white space."""
+    return F.filter(F.split(F.lower(_col(text)), r"\s+"), lambda w: w != "")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, digits: int = 6) -> DataFrame:
+    """Okapi BM25 of documents (id, text) for queries (query_id, query): query_id, id, score.  Terms count once a query.
+
+    idf = ln(1 + (N - n + 0.5) / (n + 0.5)), which is never negative.
+    """
+    words = docs.select("id", tokens("text").alias("w"))
+    terms = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
+    size = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("w")).alias("mean_length"))
+    asked = F.broadcast(terms.select("term").distinct())  # words of the stated queries
+    tf = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).join(asked, "term", "left_semi").groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits = tf.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").crossJoin(F.broadcast(size))
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+    return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("score"))
+
+
+def tf_overlap(docs: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
+    """Share of a document's words that are words of the query: query_id, id, score; empty documents score 0."""
+    pairs = docs.select("id", tokens("text").alias("w")).crossJoin(F.broadcast(queries.select("query_id", F.array_distinct(tokens("query")).alias("t"))))
+    share = F.when(F.size("w") > 0, F.size(F.filter("w", lambda x: F.array_contains("t", x))) / F.size("w")).otherwise(0.0)
+    return pairs.select("query_id", "id", F.round(share, digits).alias("score"))
+
+
+def rrf(first: DataFrame, second: DataFrame, k: int = 60, weights: tuple[float, float] = (1.0, 1.0), digits: int = 6) -> DataFrame:
+    """Weighted reciprocal rank fusion of two scored lists (query_id, id, score); one missing from a list ranks after its last."""
+
+    def ranked(df: DataFrame, name: str) -> DataFrame:
+        return df.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))).alias(name))
+
+    a, b = ranked(first, "ra"), ranked(second, "rb")
+    last = a.groupBy("query_id").agg(F.max("ra").alias("na")).join(b.groupBy("query_id").agg(F.max("rb").alias("nb")), "query_id", "full")
+    both = a.join(b, ["query_id", "id"], "full").join(F.broadcast(last), "query_id")
+    ra, rb = F.coalesce("ra", F.coalesce("na", F.lit(0)) + 1), F.coalesce("rb", F.coalesce("nb", F.lit(0)) + 1)
+    return both.select("query_id", "id", F.round(weights[0] / (k + ra) + weights[1] / (k + rb), digits).alias("score"))
+
+
+def rerank(candidates: DataFrame, scorer: Column, k: int, pool: int = 30) -> DataFrame:
+    """Keeps a pool by the first score, replaces the score by the scorer's, and takes the k best."""
+    kept = best(candidates, ["query_id"], [F.desc("score"), F.asc("id")], max(k, pool), "first_rank")
+    return best(kept.withColumn("score", scorer), ["query_id"], [F.desc("score"), F.asc("id")], k)
