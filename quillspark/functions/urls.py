@@ -5,7 +5,7 @@ from __future__ import annotations
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def normalised(url: Column) -> Column:
@@ -30,7 +30,7 @@ def links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r'<a[^>]*href="([^"]*)"'), 1))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def joined(base: pd.Series, targets: pd.Series) -> pd.Series:
     """Absolute targets, by RFC 3986; those that lead nowhere (#, javascript:, mailto:, tel:, data:) are left out."""
     skip = ("#", "javascript:", "mailto:", "tel:", "data:")

@@ -59,10 +59,10 @@ def two_stage(files: DataFrame, chunks: DataFrame, queries: DataFrame, files_k:
     return ranked.where(F.col("score") > above)
 
 
-def page_scores(chunk_scores: DataFrame, how: str = "max") -> DataFrame:
+def page_scores(chunk_scores: DataFrame, how: str = "max", digits: int = 6) -> DataFrame:
     """Chunk scores (query_id, page_id, score) to pages, by max, sum or mean."""
     agg = {"max": F.max, "sum": F.sum, "mean": F.avg}[how]
-    return chunk_scores.groupBy("query_id", "page_id").agg(F.round(agg("score"), 6).alias("score"))
+    return chunk_scores.groupBy("query_id", "page_id").agg(F.round(agg("score"), digits).alias("score"))
 
 
 def tokens(text: str | Column) -> Column:

@@ -1,13 +1,18 @@
-"""Retrieval queries."""
+"""Retrieval and evaluation queries over embeddings, documents and benchmark."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from ..operators import vectors as V
+from ..operators import evaluate as E, vectors as V
 from ..sources.tables import table
 from .catalogue import query
 
+DOT = "list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+PAIRS = f"s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, round({DOT}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 8 AND e.embedding IS NOT NULL)"
+RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)"
+WORDS = "list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda x: x <> '')"
+
 
 def _vectors(spark, d):
     return table(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
@@ -18,11 +23,187 @@ def _queries(spark, d, n=8):
     return table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-@query("""
-WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
-  FROM embeddings e, embeddings q WHERE q.vec_id < 8 AND e.embedding IS NOT NULL)
-SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5
-""")
+def _pages(spark, d):
+    """Chunk scores with their page: four vectors of a label make a page."""
+    v = _vectors(spark, d).withColumn("page_id", F.concat_ws("/", F.col("label").cast("string"), (F.col("id") / 4).cast("long").cast("string")))
+    return V.scored(v, _queries(spark, d), keep=["page_id"])
+
+
+PAGES = f"{PAIRS}, p AS (SELECT query_id, CAST(label AS VARCHAR) || '/' || CAST(id // 4 AS VARCHAR) AS page_id, score FROM s)"
+
+
+@query(f"WITH {PAIRS} SELECT query_id, id, score, CAST({RANK} AS INTEGER) AS rank FROM s QUALIFY {RANK} <= 5")
 def vec_topk_dot(spark, d):
     return V.topk(_vectors(spark, d).select("id", "v"), _queries(spark, d), 5)
+
+
+@query(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({DOT} / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 8) SELECT query_id, id, score, CAST({RANK} AS INTEGER) AS rank FROM s QUALIFY {RANK} <= 10")
+def vec_topk_normalised(spark, d):
+    return V.topk(_vectors(spark, d).select("id", "v"), _queries(spark, d), 10, "normalised")
+
+
+@query(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 8) SELECT query_id, id, score, CAST({RANK} AS INTEGER) AS rank FROM s QUALIFY {RANK} <= 10")
+def vec_topk_cosine(spark, d):
+    return V.topk(_vectors(spark, d).select("id", "v"), _queries(spark, d), 10, "cosine")
+
+
+@query(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({DOT}, 6) AS score FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE q.vec_id < 8) SELECT query_id, id, score, CAST({RANK} AS INTEGER) AS rank FROM s QUALIFY {RANK} <= 5")
+def vec_topk_scoped(spark, d):
+    q = table(spark, d, "embeddings").where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    return V.topk(_vectors(spark, d), q, 5, scope=["label"])
+
+
+@query(f"WITH {PAIRS}, r AS (SELECT query_id, id, score, CAST({RANK} AS INTEGER) AS rank FROM s QUALIFY {RANK} <= 7) SELECT * FROM r WHERE score > 0.32")
+def vec_topk_threshold(spark, d):
+    return V.topk(_vectors(spark, d).select("id", "v"), _queries(spark, d), 7, above=0.32)
+
+
+@query(f"""WITH {PAIRS}, f AS (SELECT query_id, id AS file_id FROM s WHERE id % 10 = 0 QUALIFY {RANK} <= 7),
+c AS (SELECT s.query_id, f.file_id, s.id, s.score FROM s JOIN f ON s.query_id = f.query_id AND s.id // 10 * 10 = f.file_id)
+SELECT query_id, file_id, id, score, CAST(row_number() OVER (PARTITION BY query_id, file_id ORDER BY score DESC, id) AS INTEGER) AS file_rank FROM c
+QUALIFY row_number() OVER (PARTITION BY query_id, file_id ORDER BY score DESC, id) <= 3 AND score > 0.1""")
+def vec_two_stage(spark, d):
+    v = _vectors(spark, d)
+    files = v.where("id % 10 = 0").select("id", "v")
+    return V.two_stage(files, v.select("id", "v", (F.col("id") - F.col("id") % 10).alias("file_id")), _queries(spark, d), above=0.1)
+
+
+@query(f"WITH {PAGES} SELECT query_id, page_id, round(max(score), 6) AS score FROM p GROUP BY ALL")
+def vec_page_max(spark, d):
+    return V.page_scores(_pages(spark, d), "max")
+
+
+@query(f"WITH {PAGES} SELECT query_id, page_id, round(sum(score), 6) AS score FROM p GROUP BY ALL")
+def vec_page_sum(spark, d):
+    return V.page_scores(_pages(spark, d), "sum")
+
+
+@query(f"WITH {PAGES} SELECT query_id, page_id, round(avg(score), 4) AS score FROM p GROUP BY ALL")
+def vec_page_mean(spark, d):
+    return V.page_scores(_pages(spark, d), "mean", 4)
+
+
+@query("SELECT len(embedding) AS dim, count(*) AS n FROM embeddings WHERE embedding IS NOT NULL GROUP BY ALL ORDER BY n DESC, dim LIMIT 1")
+def vec_modal_dim(spark, d):
+    return table(spark, d, "embeddings").where("embedding IS NOT NULL").groupBy(F.size("embedding").cast("long").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1)
+
+
+def _bm25_inputs(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return docs, table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+BM25 = f"""w AS (SELECT doc_id AS id, {WORDS.format('text')} AS w FROM documents), t AS (SELECT item_id AS query_id, unnest(list_distinct({WORDS.format('text')})) AS term FROM benchmark WHERE item_id < 5),
+z AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), u AS (SELECT id, len(w) AS length, unnest(w) AS term FROM w), tf AS (SELECT id, length, term, count(*) AS tf FROM u WHERE term IN (SELECT term FROM t) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+b AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) AS score FROM tf JOIN df USING (term) JOIN t USING (term), z GROUP BY ALL)"""
+
+
+@query(f"WITH {BM25} SELECT query_id, id, score FROM b")
+def bm25_okapi(spark, d):
+    return V.bm25(*_bm25_inputs(spark, d))
+
+
+@query(f"""WITH w AS (SELECT doc_id AS id, {WORDS.format('text')} AS w FROM documents), q AS (SELECT item_id AS query_id, list_distinct({WORDS.format('text')}) AS t FROM benchmark WHERE item_id < 5)
+SELECT query_id, id, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains(t, x))) / len(w) ELSE 0.0 END, 6) AS score FROM w, q""")
+def tf_overlap(spark, d):
+    return V.tf_overlap(*_bm25_inputs(spark, d))
+
+
+@query(f"""WITH {PAIRS}, b AS (SELECT query_id, id, round(score * score, 6) AS score FROM s WHERE id % 3 = 0), r1 AS (SELECT query_id, id, {RANK} AS ra FROM s WHERE id % 2 = 0), r2 AS (SELECT query_id, id, {RANK} AS rb FROM b),
+n AS (SELECT query_id, max(ra) AS na, (SELECT max(rb) FROM r2 x WHERE x.query_id = r1.query_id) AS nb FROM r1 GROUP BY query_id)
+SELECT query_id, id, round(1.0 / (60 + coalesce(ra, na + 1)) + 1.0 / (60 + coalesce(rb, nb + 1)), 6) AS score FROM r1 FULL JOIN r2 USING (query_id, id) JOIN n USING (query_id)""")
+def rrf_fusion(spark, d):
+    s = V.scored(_vectors(spark, d), _queries(spark, d))
+    return V.rrf(s.where("id % 2 = 0"), s.where("id % 3 = 0").withColumn("score", F.round(F.col("score") * F.col("score"), 6)))
+
+
+@query(f"""WITH {PAIRS}, p AS (SELECT query_id, id, score, {RANK} AS first_rank FROM s QUALIFY {RANK} <= 30), x AS (SELECT query_id, id, CAST(id % 97 AS DOUBLE) AS score, CAST(first_rank AS INTEGER) AS first_rank FROM p)
+SELECT query_id, id, score, first_rank, CAST({RANK} AS INTEGER) AS rank FROM x QUALIFY {RANK} <= 5""")
+def vec_rerank_pool(spark, d):
+    return V.rerank(V.scored(_vectors(spark, d), _queries(spark, d)), (F.col("id") % 97).cast("double"), 5)
+
+
+# ---- evaluation: queries are vectors 0 .. 39, gold is another vector of the query's label
+
+RETRIEVED = f"""s AS (SELECT q.vec_id AS query_id, q.label AS gold, e.vec_id AS id, e.label, round({DOT}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 40 AND e.vec_id <> q.vec_id),
+r AS (SELECT query_id, gold, id, label, score, {RANK} AS rank FROM s QUALIFY {RANK} <= 10), h AS (SELECT query_id, gold, min(CASE WHEN label = gold THEN rank END) AS first FROM r GROUP BY ALL)"""
+
+
+def _retrieved(spark, d):
+    v = _vectors(spark, d)
+    q = table(spark, d, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("gold"))
+    pairs = v.crossJoin(F.broadcast(q)).where("id <> query_id").select("query_id", "gold", "id", "label", F.round(V.dot("v", "q"), 6).alias("score"))  # 40 queries
+    return V.best(pairs, ["query_id"], [F.desc("score"), F.asc("id")], 10)
+
+
+@query(f"WITH {RETRIEVED} SELECT k, round(avg(CASE WHEN first <= k THEN 1.0 ELSE 0 END), 4) AS recall, round(avg(CASE WHEN first <= k THEN 1.0 / first ELSE 0 END), 4) AS mrr, count(*) AS n FROM h, (SELECT unnest([1, 3, 5, 10]) AS k) GROUP BY k")
+def recall_mrr_by_k(spark, d):
+    return E.metrics_by_k(E.first_hits(_retrieved(spark, d), ["query_id", "gold"], F.col("label") == F.col("gold")), [1, 3, 5, 10])
+
+
+@query(f"WITH {RETRIEVED} SELECT CASE WHEN gold = 0 THEN '_unknown_' ELSE CAST(gold AS VARCHAR) END AS grp, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 4) AS recall, round(avg(CASE WHEN first <= 5 THEN 1.0 / first ELSE 0 END), 4) AS mrr, count(*) AS n FROM h GROUP BY 1")
+def recall_by_group(spark, d):
+    hits = E.first_hits(_retrieved(spark, d), ["query_id", "gold"], F.col("label") == F.col("gold"))
+    return E.metrics(hits.withColumn("grp", E.group_key(F.when(F.col("gold") != 0, F.col("gold").cast("string")))), 5, ["grp"])
+
+
+@query(f"""WITH {RETRIEVED}, x AS (SELECT query_id, first, d.text AS top_text, CASE WHEN query_id % 2 = 0 THEN d.text ELSE 'no such answer' END AS said FROM h JOIN r USING (query_id, gold) JOIN documents d ON d.doc_id = r.id WHERE r.rank = 1),
+c AS (SELECT CASE WHEN first IS NULL THEN 'retrieval_miss' WHEN trim(top_text) <> '' AND length(trim(top_text)) < 80 THEN 'ocr_loss' WHEN trim(top_text) <> '' THEN 'vlm_noise' ELSE 'answer_miss' END AS category FROM x WHERE NOT (first IS NOT NULL AND contains(lower(trim(said)), lower(trim(substr(top_text, 1, 20))))))
+SELECT category, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM c GROUP BY category""")
+def error_taxonomy(spark, d):
+    got = _retrieved(spark, d)
+    first = E.first_hits(got, ["query_id", "gold"], F.col("label") == F.col("gold"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("top_text"))
+    x = first.join(got.where("rank = 1").select("query_id", "id"), "query_id").join(docs, "id")
+    x = x.withColumn("said", F.when(F.col("query_id") % 2 == 0, F.col("top_text")).otherwise("no such answer"))
+    wrong = x.where(~(F.col("first").isNotNull() & E.contains_answer(F.col("said"), F.substring("top_text", 1, 20))))
+    return E.shares(wrong.select(E.classify_error(F.col("first").isNotNull(), F.col("top_text")).alias("category")), "category")
+
+
+@query("SELECT round(avg(CASE WHEN trim(b.text) = '' OR contains(lower(trim(d.text)), lower(trim(substr(b.text, 1, 12)))) THEN 1.0 ELSE 0 END), 6) AS rate, count(*) AS n FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
+def contains_answer_rate(spark, d):
+    pairs = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % 40).join(F.broadcast(table(spark, d, "benchmark").withColumnRenamed("text", "gold")), "item_id")
+    return pairs.agg(F.round(F.avg(E.contains_answer(F.col("text"), F.substring("gold", 1, 12)).cast("double")), 6).alias("rate"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {RETRIEVED} SELECT round(avg(CASE WHEN rank = 1 AND label = gold THEN 1.0 WHEN rank = 1 THEN 0 END), 4) AS top1, (SELECT round(avg(CASE WHEN first IS NULL THEN 0 ELSE 1.0 END), 4) FROM h) AS topk FROM r")
+def lecture_accuracy(spark, d):
+    r = _retrieved(spark, d)
+    top = r.agg(F.round(F.avg(F.when(F.col("rank") == 1, (F.col("label") == F.col("gold")).cast("double"))), 4).alias("top1"))
+    return top.crossJoin(E.first_hits(r, ["query_id"], F.col("label") == F.col("gold")).agg(F.round(F.avg(F.col("first").isNotNull().cast("double")), 4).alias("topk")))
+
+
+@query(f"WITH {RETRIEVED}, c AS (SELECT id, label, count(*) AS n FROM r WHERE rank = 1 GROUP BY ALL) SELECT id, label, n, round(n / (SELECT sum(n) FROM c), 4) AS share, n / (SELECT sum(n) FROM c) > 0.1 AS flagged FROM c ORDER BY n DESC, id LIMIT 5")
+def top_attractors(spark, d):
+    return E.attractors(_retrieved(spark, d).where("rank = 1"), ["id", "label"], 5)
+
+
+@query(f"WITH {RETRIEVED} SELECT round(avg(CASE WHEN first IS NOT NULL THEN 0.0 WHEN near THEN 1.0 ELSE 0 END), 4) AS near_miss_rate FROM h JOIN (SELECT query_id, bool_or(abs(label - gold) <= 1) AS near FROM r GROUP BY query_id) USING (query_id)")
+def near_miss_rate(spark, d):
+    r = _retrieved(spark, d)
+    q = r.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("gold"), F.col("rank"))).alias("first"), F.bool_or(F.abs(F.col("label") - F.col("gold")) <= 1).alias("near"))
+    return q.agg(F.round(F.avg((F.col("first").isNull() & F.col("near")).cast("double")), 4).alias("near_miss_rate"))
+
+
+@query(f"WITH {RETRIEVED} SELECT query_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS ids, string_agg(CASE WHEN label = gold THEN '1' ELSE '0' END, '' ORDER BY rank) AS hits FROM r GROUP BY query_id")
+def prediction_dump(spark, d):
+    rows = F.array_sort(F.collect_list(F.struct("rank", "id", (F.col("label") == F.col("gold")).alias("hit"))))
+    return _retrieved(spark, d).groupBy("query_id").agg(rows.alias("r")).select("query_id", F.array_join(F.transform("r", lambda x: x["id"].cast("string")), ",").alias("ids"), F.array_join(F.transform("r", lambda x: F.when(x["hit"], "1").otherwise("0")), "").alias("hits"))
+
+
+@query(f"WITH {RETRIEVED}, g AS (SELECT query_id % 3 AS variant, k, round(avg(CASE WHEN first <= k THEN 1.0 / first ELSE 0 END), 4) AS mrr FROM h, (SELECT unnest([1, 3, 5, 10]) AS k) GROUP BY ALL) SELECT variant, k, mrr FROM g QUALIFY row_number() OVER (PARTITION BY variant ORDER BY mrr DESC, k) = 1")
+def sweep_best_cell(spark, d):
+    hits = E.first_hits(_retrieved(spark, d), ["query_id"], F.col("label") == F.col("gold")).withColumn("variant", F.col("query_id") % 3)
+    cells = E.metrics_by_k(hits, [1, 3, 5, 10], ["variant"]).select("variant", "k", "mrr")
+    return cells.withColumn("__r", F.row_number().over(Window.partitionBy("variant").orderBy(F.desc("mrr"), "k"))).where("__r = 1").drop("__r")
+
+
+@query("SELECT lang, least(count(*), 25) AS n FROM documents GROUP BY lang")
+def stratified_sample_sizes(spark, d):
+    return E.stratified(table(spark, d, "documents"), "lang", "doc_id", 25, seed=3).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source), t AS (SELECT sum(n) AS total FROM s) SELECT source, CAST(least(n, greatest(5, CAST(floor(200.0 * n / total) AS BIGINT))) AS BIGINT) AS n FROM s, t")
+def proportional_sample_sizes(spark, d):
+    return E.proportional(table(spark, d, "documents"), "source", "doc_id", 200, least=5).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
