@@ -78,9 +78,9 @@ def vec_page_sum(spark, d):
     return V.page_scores(_pages(spark, d), "sum")
 
 
-@query(f"WITH {PAGES} SELECT query_id, page_id, round(avg(score), 4) AS score FROM p GROUP BY ALL")
+@query(f"WITH {PAGES} SELECT query_id, page_id, round(avg(score), 8) AS score FROM p GROUP BY ALL")
 def vec_page_mean(spark, d):
-    return V.page_scores(_pages(spark, d), "mean", 4)
+    return V.page_scores(_pages(spark, d), "mean", 8)
 
 
 @query("SELECT len(embedding) AS dim, count(*) AS n FROM embeddings WHERE embedding IS NOT NULL GROUP BY ALL ORDER BY n DESC, dim LIMIT 1")

@@ -33,11 +33,12 @@ def runlength_merge(spark, d):
     return runs.groupBy("user_id", "run").agg(F.min("event_type").alias("event_type"), F.array_join(F.transform(rows, lambda x: x["event_id"].cast("string")), " ").alias("events"))
 
 
-SEGMENTS = "g AS (SELECT l_orderkey % 50 AS rec, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS seg_id, CAST(l_partkey % 900 AS DOUBLE) AS lo, CAST(l_partkey % 900 + l_quantity AS DOUBLE) AS hi FROM lineitem WHERE l_linenumber = 1), t AS (SELECT rec, speaker, min(a) AS a, min(b) AS b FROM (SELECT o_orderkey % 50 AS rec, 'S' || CAST(o_custkey % 20 AS VARCHAR) AS speaker, CAST(o_custkey % 890 AS DOUBLE) AS a, CAST(o_custkey % 890 + 30 AS DOUBLE) AS b FROM orders) GROUP BY rec, speaker)"
+SEGMENTS = "g AS (SELECT l_orderkey % 50 AS rec, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS seg_id, min(CAST(l_partkey % 900 AS DOUBLE)) AS lo, min(CAST(l_partkey % 900 AS DOUBLE)) + min(l_quantity) AS hi FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL), t AS (SELECT rec, speaker, min(a) AS a, min(b) AS b FROM (SELECT o_orderkey % 50 AS rec, 'S' || CAST(o_custkey % 20 AS VARCHAR) AS speaker, CAST(o_custkey % 890 AS DOUBLE) AS a, CAST(o_custkey % 890 + 30 AS DOUBLE) AS b FROM orders) GROUP BY rec, speaker)"
 
 
 def _segments(spark, d):
-    seg = table(spark, d, "lineitem").where("l_linenumber = 1").selectExpr("l_orderkey % 50 AS rec", "l_orderkey * 10 + l_linenumber AS seg_id", "CAST(l_partkey % 900 AS DOUBLE) AS start", "CAST(l_partkey % 900 + l_quantity AS DOUBLE) AS end")
+    seg = table(spark, d, "lineitem").where("l_linenumber = 1").selectExpr("l_orderkey % 50 AS rec", "l_orderkey * 10 + l_linenumber AS seg_id", "CAST(l_partkey % 900 AS DOUBLE) AS start", "l_quantity")
+    seg = seg.groupBy("rec", "seg_id").agg(F.min("start").alias("start"), (F.min("start") + F.min("l_quantity")).alias("end"))
     turns = table(spark, d, "orders").selectExpr("o_orderkey % 50 AS rec", "concat('S', o_custkey % 20) AS speaker", "CAST(o_custkey % 890 AS DOUBLE) AS start", "CAST(o_custkey % 890 + 30 AS DOUBLE) AS end")
     return seg, turns.groupBy("rec", "speaker").agg(F.min("start").alias("start"), F.min("end").alias("end"))
 
@@ -45,7 +46,7 @@ def _segments(spark, d):
 @query(f"WITH {SEGMENTS}, o AS (SELECT g.rec, seg_id, speaker, least(hi, b) - greatest(lo, a) AS overlap, a FROM g JOIN t ON g.rec = t.rec AND lo < b AND a < hi), f AS (SELECT rec, seg_id, speaker FROM o QUALIFY row_number() OVER (PARTITION BY rec, seg_id ORDER BY overlap DESC, a, speaker) = 1) SELECT g.rec, g.seg_id, coalesce(speaker, 'UNKNOWN') AS speaker FROM g LEFT JOIN f ON g.rec = f.rec AND g.seg_id = f.seg_id")
 def interval_overlap_best(spark, d):
     seg, turns = _segments(spark, d)
-    return S.overlap_best(seg.dropDuplicates(["rec", "seg_id"]), turns, "rec", 60.0).select("rec", "seg_id", "speaker")
+    return S.overlap_best(seg, turns, "rec", 60.0).select("rec", "seg_id", "speaker")
 
 
 @query(f"WITH {SEGMENTS} SELECT g.rec, seg_id, speaker FROM g JOIN t ON g.rec = t.rec AND g.lo BETWEEN t.a AND t.b")
