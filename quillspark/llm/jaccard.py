@@ -79,14 +79,36 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def may_link(x: np.ndarray, nx: int, y: np.ndarray, ny: int, percent: int) -> bool:
-    """Whether the bitmaps of two sets let them link."""
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    px, py, common = (int(np.bitwise_count(v).sum()) for v in (x, y, x & y))
-    return common + min(nx - px, ny - py) >= needed(nx, ny, percent)
+def folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (in the last axis) of so many words, halves laid over one another."""
+    while x.shape[-1] > width:
+        half = x.shape[-1] // 2
+        x = x[..., :half] | x[..., half:]
+    return x
+
+
+def posting_pairs(ids: np.ndarray, sizes: np.ndarray, component: np.ndarray, bits: list[bytes], percent: int) -> list[np.ndarray]:
+    """(smaller id, larger id) of rows of a posting, in order of size, that stand in different components and whose bitmaps let them link."""
+    maps = [np.frombuffer(x, dtype=np.uint64) for x in bits]
+    width = np.array([len(x) for x in maps])
+    place, stacks = np.zeros(len(maps), dtype=np.int64), {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        place[at], stacks[w] = np.arange(len(at)), np.stack([maps[k] for k in at])
+    out = []
+    for i in range(1, len(ids)):
+        low = int(np.searchsorted(sizes[:i], -((-percent * sizes[i]) // 100)))
+        j = low + np.flatnonzero(component[low:i] != component[i])
+        for w in np.unique(width[j]).tolist():
+            k = j[width[j] == w]
+            x = folded(maps[i], w)
+            y = folded(stacks[w][place[k]], len(x))
+            count = lambda v: np.bitwise_count(v).sum(axis=-1, dtype=np.int64)
+            bound = count(y & x) + np.minimum(sizes[k] - count(y), sizes[i] - count(x))
+            k = k[bound >= needed(sizes[k], sizes[i], percent)]
+            if len(k):
+                out.append(np.stack([np.minimum(ids[k], ids[i]), np.maximum(ids[k], ids[i])], axis=1))
+    return out
 
 
 def tile_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -251,44 +273,25 @@ def links(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5)
 
     # pairs that share a posting and are still apart
     near = components(joined, scratch, "first")
-    placed = nodes.select("node", "doc_id", "size").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("node", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = nodes.select("node", "doc_id", "bits").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("node", "doc_id", "bits", F.coalesce("component", "doc_id").alias("component"))
     shared = met.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("h"), F.col("c").alias("size")).join(placed, "node")
     apart = shared.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
-    shared = shared.join(apart, "h", "left_semi").select("h", "doc_id", "size", "component", F.pmod("h", F.lit(parts)).alias("p"))
+    shared = shared.join(apart, "h", "left_semi").select("h", "doc_id", "size", "component", "bits", F.pmod("h", F.lit(parts)).alias("p"))
 
     def across(t: pa.Table) -> pa.Table:
-        """Distinct pairs of one posting group, of sizes that can link, from different components."""
+        """Pairs of one posting group, from different components, of sizes and bitmaps that let them link."""
         h, d, s, c = (t.column(k).to_numpy() for k in ("h", "doc_id", "size", "component"))
         order = np.lexsort((d, s, h))
         h, d, s, c = h[order], d[order], s[order], c[order]
+        bits = t.column("bits").combine_chunks().take(pa.array(order)).to_pylist()
         cuts = np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h))
-        out, held = [np.zeros((0, 2), np.int64)], 0
+        out = [np.zeros((0, 2), np.int64)]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            for i in range(a + 1, b):
-                low = a + int(np.searchsorted(s[a:i], -((-percent * s[i]) // 100)))
-                j = low + np.flatnonzero(c[low:i] != c[i])
-                if len(j):
-                    pair = np.empty((len(j), 2), np.int64)
-                    pair[:, 0], pair[:, 1] = np.minimum(d[j], d[i]), np.maximum(d[j], d[i])
-                    out.append(pair)
-                    held += len(j)
-            if held > 2_000_000:
-                out, held = [np.unique(np.concatenate(out), axis=0)], 0
+            out += posting_pairs(d[a:b], s[a:b], c[a:b], bits[a:b], percent)
         pairs = np.unique(np.concatenate(out), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    pairs = shared.groupBy("p").applyInArrow(across, "a long, b long").distinct()
-
-    def bounded(batches):
-        """Pairs whose bitmaps let them link."""
-        for b in batches:
-            x, nx, y, ny = (b.column(k).to_pylist() for k in (2, 3, 4, 5))
-            ok = [may_link(np.frombuffer(p, dtype=np.uint64), m, np.frombuffer(q, dtype=np.uint64), k, percent) for p, m, q, k in zip(x, nx, y, ny)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
-
-    light = nodes.select("doc_id", "bits", "size")
-    maybe = pairs.join(light.toDF("a", "bits_a", "size_a"), "a").join(light.toDF("b", "bits_b", "size_b"), "b").select("a", "b", "bits_a", "size_a", "bits_b", "size_b").mapInArrow(bounded, "a long, b long")
-    maybe = scratch.save(maybe, "maybe")
+    maybe = scratch.save(shared.groupBy("p").applyInArrow(across, "a long, b long").distinct(), "maybe")
 
     def exact(batches):
         for b in batches:
