@@ -198,7 +198,7 @@ def parse(source: str) -> list:
         return body, "", ""
 
     def statement(word: str, rest: str):
-        e = Expressions(rest)
+        e = Expressions(rest if word in ("for", "if") else "")
         if word == "for":
             name = e.name()
             e.need("in")
