@@ -136,10 +136,10 @@ def test_template_compiler():
     t = chat.Template("{# c #}{% set n = 1 + 2 %}{{ n }}{% for m in messages %}{% if loop.first %}[{% elif 1 == 2 %}never{% else %},{% endif %}{{ m.x | upper if not loop.last else 'end' }}{% endfor %}]")
     assert t.render([{"x": "a"}, {"x": "b"}])[0] == "3[A,end]"
     assert chat.fold(("bin", "+", ("const", 1), ("const", 2))) == ("const", 3)
-    for bad in ("{% if x %}", "{{ a b }}", "{{ x | nope }}", "{% frob %}", "{{ ( }}"):
+    for bad in ("{% if x %}", "{{ a b }}", "{{ x | nope }}", "{% frob %}", "{{ ( }}", "{{ messages.__class__ }}"):
         with pytest.raises(chat.TemplateError):
             chat.Template(bad)
-    assert chat.Template("{{ messages.__class__ }}").render([])[0] == ""
+    assert chat.Template("{{ messages['__class__'] }}").render([])[0] == ""
 
 
 @settings(max_examples=100, deadline=None)
