@@ -7,11 +7,12 @@ shingles last, else by hash): the prefix filter, which loses no link.  Prefix po
 1. Each node goes to the leader it shares most prefix shingles with; a leader's nodes form tiles of bounded size.
 2. Inside a tile nodes stand in bands of sizes that can reach the threshold; bit counts of their hashed bitmaps bound each
    overlap from above, and only pairs within the bound are intersected exactly, as sorted arrays.  Pairs already joined are
-   skipped: what leaves a tile is a forest, however many copies there are.
+   skipped: what leaves a tile is one star for each of its components, however many copies there are.
 3. Postings whose nodes are by then in different components give the pairs that no tile has seen.  They are held against
-   their bitmaps and, within the bound, intersected exactly.
+   their bitmaps and, within the bound, intersected exactly.  Links found so join components, and only the graph of components
+   is settled once more.
 
-Only arrays of postings, candidate pairs and forests move; fingerprints and links never reach the driver.  The set of frequent
+Only arrays of postings, candidate pairs and stars move; fingerprints and links never reach the driver.  The set of frequent
 shingles (at most HEAVY_KEPT) only orders the filter: any order gives the same links.
 
 Defined cases: null and empty texts, and texts without words, have empty sets and link with nothing; fewer than n words make one
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bytes import chunks, mix64, shingle_sets
 from .common import Scratch, text_rows
-from .graph import components
+from .graph import Forest, components
 
 HEAVY_KEPT = 200_000
 #: Nodes of a leader that meet in one tile.
@@ -178,8 +179,8 @@ def _scan(percent: int, n: int):
     return rows
 
 
-def links(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, size, node) of every row, and links (a, b) between documents that join all components."""
+def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, size, node) of every row; the components (node, component) that tiles join; and those (node, component) of the components among them that links between tiles join."""
     spark = documents.sparkSession
     texts = text_rows(documents)
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -262,11 +263,15 @@ def links(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5)
     members = members.unionByName(counts.select(F.col("leader").alias("node"), "leader", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile")))
 
     def tile(t: pa.Table) -> pa.Table:
-        ids = t.column("doc_id").to_pylist()
+        t = t.sort_by("doc_id")
+        ids = t.column("doc_id").to_numpy()
         batch = t.select(["text"]).combine_chunks().to_batches()[0]
         sets = [s for _, data, offsets in chunks(batch) for s in shingle_sets(data, offsets, n)]
-        found = tile_forest(sets, percent)
-        return pa.table({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        joins = Forest(len(sets))
+        for x, y in tile_forest(sets, percent):
+            joins.union(x, y)
+        root = joins.roots()
+        return pa.table({"a": ids[root], "b": ids}).filter(pa.array(root != np.arange(len(sets)), pa.bool_()))
 
     tiles = members.join(nodes.select("node", "doc_id", "text"), "node").groupBy("leader", "tile").applyInArrow(tile, "a long, b long")
     joined = scratch.save(tiles, "joined")
@@ -289,29 +294,31 @@ def links(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             out += posting_pairs(d[a:b], s[a:b], c[a:b], bits[a:b], percent)
         pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        by_id = np.argsort(d, kind="stable")
+        of = c[by_id[np.searchsorted(d, pairs, sorter=by_id)]]
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "x": of[:, 0], "y": of[:, 1]})
 
-    maybe = scratch.save(shared.groupBy("p").applyInArrow(across, "a long, b long").distinct(), "maybe")
+    maybe = scratch.save(shared.groupBy("p").applyInArrow(across, "a long, b long, x long, y long").distinct(), "maybe")
 
     def exact(batches):
         for b in batches:
-            x, y = ([s for _, data, offsets in chunks(b, k) for s in shingle_sets(data, offsets, n)] for k in (2, 3))
-            ok = [overlap(p, q) >= needed(len(p), len(q), percent) for p, q in zip(x, y)]
+            p, q = ([s for _, data, offsets in chunks(b, k) for s in shingle_sets(data, offsets, n)] for k in (2, 3))
+            ok = [overlap(s, t) >= needed(len(s), len(t), percent) for s, t in zip(p, q)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
 
     whole = nodes.select("doc_id", "text")
-    late = maybe.join(whole.toDF("a", "text_a"), "a").join(whole.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long")
-    return docs, scratch.save(joined.unionByName(late), "links")
+    late = maybe.join(whole.toDF("a", "text_a"), "a").join(whole.toDF("b", "text_b"), "b").select("x", "y", "text_a", "text_b").mapInArrow(exact, "a long, b long")
+    return docs, near, components(late, scratch, "last")
 
 
 def cluster(documents: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     scratch = Scratch(documents.sparkSession, "jaccard")
-    docs, found = links(documents, scratch, percent, n)
-    groups = scratch.save(components(found, scratch, "last"), "groups")
+    docs, near, last = groups(documents, scratch, percent, n)
     reps = docs.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k"))
     # only nodes with copies or links have anything to tell
-    told = reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").where("k > 1 OR component IS NOT NULL").select("node", F.coalesce("component", "rep").alias("component"))
+    first = reps.join(near.toDF("rep", "first"), "rep", "left").withColumn("first", F.coalesce("first", "rep"))
+    told = first.join(last.toDF("first", "component"), "first", "left").select("node", "k", "rep", F.coalesce("component", "first").alias("component")).where("k > 1 OR component <> rep").select("node", "component")
     scratch.drop("nodes", "met", "led", "joined", "maybe")
     return docs.join(told, "node", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
