@@ -49,7 +49,7 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = scratch.save(small.where("u <> v").distinct(), f"{name}-{k}")
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen == (state["n"], state["h"]):
+        if not state["n"] or seen == (state["n"], state["h"]):
             break
         seen = (state["n"], state["h"])
         if k > 1:

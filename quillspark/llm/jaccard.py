@@ -2,15 +2,16 @@
 
 A document is the set of its distinct 5-word shingles (64-bit hashes); documents of equal sets are one node, so copies
 cost nothing more.  Nodes that may link share one of their first n - ceil(0.8 n) + 1 shingles in one global order (frequent
-shingles last, else by hash): the prefix filter, which loses no link.  Prefix postings meet in groups by hash.
+shingles last, else by hash): the prefix filter, which loses no link.  Prefix postings meet in groups by hash; one whose neighbours in size are out of reach is let go.
 
 1. Each node goes to the leader it shares most prefix shingles with; a leader's nodes form tiles of bounded size.
 2. Inside a tile nodes stand in bands of sizes that can reach the threshold; bit counts of their hashed bitmaps bound each
    overlap from above, and only pairs within the bound are intersected exactly, as sorted arrays.  Pairs already joined are
    skipped: what leaves a tile is one star for each of its components, however many copies there are.
-3. Postings whose nodes are by then in different components give the pairs that no tile has seen.  They are held against
-   their bitmaps and, within the bound, intersected exactly.  Links found so join components, and only the graph of components
-   is settled once more.
+3. Postings whose nodes are by then in different components give the pairs that no tile has seen, held against their bitmaps.
+   First, in two large postings of each node, the likeliest pair of every two components among neighbours in size is
+   intersected exactly, which joins what the tiles of one large group have split; only the graph of components is settled again.  Then all pairs still
+   in different components and within the bound are intersected exactly, and the graph of components is settled once more.
 
 Only arrays of postings, candidate pairs and stars move; fingerprints and links never reach the driver.  The set of frequent
 shingles (at most HEAVY_KEPT) only orders the filter: any order gives the same links.
@@ -35,6 +36,10 @@ from .graph import Forest, components
 HEAVY_KEPT = 200_000
 #: Nodes of a leader that meet in one tile.
 TILE = 1024
+#: Neighbours in size that are paired first, in postings of more nodes; all postings are paired in full afterwards.
+NEAR = 32
+#: Pairs whose bitmaps are compared at once, and bytes of bitmaps.
+PAIRS, BITMAP_BYTES = 1 << 20, 1 << 24
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -58,8 +63,8 @@ def prefix(s: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bits_for(size: int) -> int:
-    """Bits of the bitmap of a set: two to four for each element."""
-    return min(1 << 20, max(256, 1 << (2 * size - 1).bit_length()))
+    """Bits of the bitmap of a set: four to eight for each element of a small set, two to four for each of a large one."""
+    return min(1 << 20, max(256, min(1024, 1 << (4 * size - 1).bit_length()), 1 << (2 * size - 1).bit_length()))
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -88,28 +93,63 @@ def folded(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def posting_pairs(ids: np.ndarray, sizes: np.ndarray, component: np.ndarray, bits: list[bytes], percent: int) -> list[np.ndarray]:
-    """(smaller id, larger id) of rows of a posting, in order of size, that stand in different components and whose bitmaps let them link."""
-    maps = [np.frombuffer(x, dtype=np.uint64) for x in bits]
-    width = np.array([len(x) for x in maps])
-    place, stacks = np.zeros(len(maps), dtype=np.int64), {}
-    for w in np.unique(width).tolist():
-        at = np.flatnonzero(width == w)
-        place[at], stacks[w] = np.arange(len(at)), np.stack([maps[k] for k in at])
-    out = []
-    for i in range(1, len(ids)):
-        low = int(np.searchsorted(sizes[:i], -((-percent * sizes[i]) // 100)))
-        j = low + np.flatnonzero(component[low:i] != component[i])
-        for w in np.unique(width[j]).tolist():
-            k = j[width[j] == w]
-            x = folded(maps[i], w)
-            y = folded(stacks[w][place[k]], len(x))
-            count = lambda v: np.bitwise_count(v).sum(axis=-1, dtype=np.int64)
-            bound = count(y & x) + np.minimum(sizes[k] - count(y), sizes[i] - count(x))
-            k = k[bound >= needed(sizes[k], sizes[i], percent)]
-            if len(k):
-                out.append(np.stack([np.minimum(ids[k], ids[i]), np.maximum(ids[k], ids[i])], axis=1))
-    return out
+class Bitmaps:
+    """Bitmaps of many sets, stacked by width."""
+
+    def __init__(self, bits: list[bytes], sizes: np.ndarray):
+        self.sizes, self.width = sizes, np.array([len(x) // 8 for x in bits], dtype=np.int64)
+        self.place, self.stacks = np.zeros(len(bits), dtype=np.int64), {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.stacks[w] = np.frombuffer(b"".join(bits[k] for k in at.tolist()), dtype=np.uint64).reshape(len(at), w)
+
+    def slack(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """How far the bound on each overlap is above what a link needs; negative: no link."""
+        out = np.empty(len(i), dtype=np.int64)
+        kinds, kind = np.unique(np.stack([self.width[i], self.width[j]], axis=1), axis=0, return_inverse=True)
+        count = lambda v: np.bitwise_count(v).sum(axis=1, dtype=np.int64)
+        for n, (wi, wj) in enumerate(kinds.tolist()):
+            at = np.flatnonzero(kind.reshape(-1) == n)
+            step = max(1, BITMAP_BYTES // (8 * max(wi, wj)))
+            for k in (at[m : m + step] for m in range(0, len(at), step)):
+                x = folded(self.stacks[wi][self.place[i[k]]], min(wi, wj))
+                y = folded(self.stacks[wj][self.place[j[k]]], min(wi, wj))
+                out[k] = count(x & y) + np.minimum(self.sizes[i[k]] - count(x), self.sizes[j[k]] - count(y))
+        return out - needed(self.sizes[i], self.sizes[j], percent)
+
+
+def posting_pairs(h: np.ndarray, doc: np.ndarray, component: np.ndarray, maps: Bitmaps, percent: int, near: int | None = None) -> Iterator[np.ndarray]:
+    """(place, place, slack) of documents that share a posting, stand in different components and whose sizes and bitmaps let them link.
+
+    h and doc (a place among the bitmaps) are the postings, in order of hash, then size.  With near, only that many neighbours pair.
+    """
+    sizes, count = maps.sizes, len(maps.sizes)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+    start = np.repeat(first, np.diff(np.append(first, len(h))))
+    active, held, total = np.arange(len(h)), [], 0
+
+    def settle():
+        i, j = np.divmod(np.unique(np.concatenate(held)), count)
+        slack = maps.slack(i, j, percent)
+        return np.stack([i, j, slack], axis=1)[slack >= 0]
+
+    offset = 1
+    while len(active) and (near is None or offset <= near):
+        active = active[active - offset >= start[active]]
+        # smaller partners stand further off: who is out of reach now stays so
+        active = active[100 * sizes[doc[active - offset]] >= percent * sizes[doc[active]]]
+        for k in (active[m : m + PAIRS] for m in range(0, len(active), PAIRS)):
+            i, j = doc[k], doc[k - offset]
+            apart = component[i] != component[j]
+            held.append(np.maximum(i, j)[apart] * count + np.minimum(i, j)[apart])
+            total += int(apart.sum())
+            if total > PAIRS:
+                yield settle()
+                held, total = [], 0
+        offset += 1
+    if total:
+        yield settle()
 
 
 def tile_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -180,7 +220,7 @@ def _scan(percent: int, n: int):
 
 
 def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, size, node) of every row; the components (node, component) that tiles join; and those (node, component) of the components among them that links between tiles join."""
+    """(doc_id, size, node) of every row; the components (node, component) that tiles join; and those (node, component) of the components among them that the last links join."""
     spark = documents.sparkSession
     texts = text_rows(documents)
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -222,8 +262,12 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
             yield flush()
 
     def meet(t: pa.Table) -> pa.Table:
-        """Of postings that several nodes share: each node and the leader of the group, counted; and the postings themselves."""
+        """Of postings that several nodes of sizes within the threshold share: each node and the leader of the group, counted; and the postings themselves."""
         rows = np.unique(np.frombuffer(b"".join(t.column("v").to_pylist()), dtype=record))  # by h, then node
+        order = np.lexsort((rows["size"], rows["h"]))
+        h, size = rows["h"][order], rows["size"][order].astype(np.int64)
+        close = (h[1:] == h[:-1]) & (100 * size[:-1] >= percent * size[1:])
+        rows = rows[np.sort(order[np.concatenate((close, [False]))[: len(rows)] | np.concatenate(([False], close))[: len(rows)]])]
         new = np.concatenate(([True], rows["h"][1:] != rows["h"][:-1]))
         start = np.flatnonzero(new)
         length = np.diff(np.append(start, len(rows)))
@@ -276,29 +320,28 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
     tiles = members.join(nodes.select("node", "doc_id", "text"), "node").groupBy("leader", "tile").applyInArrow(tile, "a long, b long")
     joined = scratch.save(tiles, "joined")
 
-    # pairs that share a posting and are still apart
+    # postings of pairs that are still apart
     near = components(joined, scratch, "first")
-    placed = nodes.select("node", "doc_id", "bits").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("node", "doc_id", "bits", F.coalesce("component", "doc_id").alias("component"))
+    placed = reps_alive.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("node", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     shared = met.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("h"), F.col("c").alias("size")).join(placed, "node")
-    apart = shared.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
-    shared = shared.join(apart, "h", "left_semi").select("h", "doc_id", "size", "component", "bits", F.pmod("h", F.lit(parts)).alias("p"))
-
-    def across(t: pa.Table) -> pa.Table:
-        """Pairs of one posting group, from different components, of sizes and bitmaps that let them link."""
-        h, d, s, c = (t.column(k).to_numpy() for k in ("h", "doc_id", "size", "component"))
-        order = np.lexsort((d, s, h))
-        h, d, s, c = h[order], d[order], s[order], c[order]
-        bits = t.column("bits").combine_chunks().take(pa.array(order)).to_pylist()
-        cuts = np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h))
-        out = [np.zeros((0, 2), np.int64)]
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            out += posting_pairs(d[a:b], s[a:b], c[a:b], bits[a:b], percent)
-        pairs = np.unique(np.concatenate(out), axis=0)
-        by_id = np.argsort(d, kind="stable")
-        of = c[by_id[np.searchsorted(d, pairs, sorter=by_id)]]
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "x": of[:, 0], "y": of[:, 1]})
-
-    maybe = scratch.save(shared.groupBy("p").applyInArrow(across, "a long, b long, x long, y long").distinct(), "maybe")
+
+    def across(neighbours: int | None):
+        def pairs(t: pa.Table) -> pa.Table:
+            """Pairs of the posting groups of one part, from different components, of sizes and bitmaps that let them link."""
+            d, s, c = (t.column(k).to_numpy() for k in ("doc_id", "size", "component"))
+            lists = t.column("h").combine_chunks()
+            h, doc = lists.flatten().to_numpy(), np.repeat(np.arange(len(d)), lists.value_lengths().to_numpy())
+            order = np.lexsort((d[doc], s[doc], h))
+            out = [np.zeros((0, 5), np.int64)]
+            for i, j, slack in (p.T for p in posting_pairs(h[order], doc[order], c, Bitmaps(t.column("bits").to_pylist(), s), percent, neighbours)):
+                i, j = np.where(c[i] < c[j], i, j), np.where(c[i] < c[j], j, i)
+                out.append(np.stack([c[i], c[j], -slack, d[i], d[j]], axis=1))
+            found = np.unique(np.concatenate(out), axis=0)  # by component pair, likeliest first
+            if neighbours:
+                found = found[np.unique(found[:, :2], axis=0, return_index=True)[1]]
+            return pa.table({k: found[:, n] for n, k in enumerate(("x", "y", "loose", "a", "b"))})
+
+        return pairs
 
     def exact(batches):
         for b in batches:
@@ -306,9 +349,32 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
             ok = [overlap(s, t) >= needed(len(s), len(t), percent) for s, t in zip(p, q)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
 
-    whole = nodes.select("doc_id", "text")
-    late = maybe.join(whole.toDF("a", "text_a"), "a").join(whole.toDF("b", "text_b"), "b").select("x", "y", "text_a", "text_b").mapInArrow(exact, "a long, b long")
-    return docs, near, components(late, scratch, "last")
+    whole, bitmaps = nodes.select("doc_id", "text"), nodes.select("node", "bits")
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """Rows (h, node, doc_id, size, component) of postings that hold several components."""
+        several = rows.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
+        return rows.join(several, "h", "left_semi").select("h", "node", "doc_id", "size", "component")
+
+    def late(rows: DataFrame, neighbours: int | None, name: str) -> DataFrame:
+        """Components of the graph whose nodes are components, from the pairs between them that link."""
+        dealt = rows.groupBy("node", "doc_id", F.pmod("h", F.lit(parts)).alias("p")).agg(F.first("size").alias("size"), F.first("component").alias("component"), F.collect_list("h").alias("h")).join(bitmaps, "node").drop("node")
+        pairs = dealt.groupBy("p").applyInArrow(across(neighbours), "x long, y long, loose long, a long, b long")
+        pairs = pairs.groupBy("x", "y").agg(F.min(F.struct("loose", "a", "b")).alias("m")).select("x", "y", "m.a", "m.b") if neighbours else pairs.select("x", "y", "a", "b").distinct()
+        pairs = scratch.save(pairs, f"{name}-pairs")
+        linked = pairs.join(whole.toDF("a", "text_a"), "a").join(whole.toDF("b", "text_b"), "b").select("x", "y", "text_a", "text_b").mapInArrow(exact, "a long, b long")
+        return components(linked, scratch, name)
+
+    rest = scratch.save(apart(shared), "apart")
+    large = rest.join(rest.groupBy("h").count().where(F.col("count") > NEAR).select("h"), "h", "left_semi")
+    chance = F.xxhash64("h", "node")
+    some = large.groupBy("node", "doc_id").agg(F.first("size").alias("size"), F.first("component").alias("component"), F.min_by("h", chance).alias("h1"), F.max_by("h", chance).alias("h2"))
+    some = some.select("node", "doc_id", "size", "component", F.explode(F.array_distinct(F.array("h1", "h2"))).alias("h"))
+    second = late(some, NEAR, "second")
+    moved = lambda df, key: df.join(second.toDF(key, "to"), key, "left").withColumn(key, F.coalesce("to", key)).drop("to")
+    last = late(apart(moved(rest, "component")), None, "last")
+    near = moved(near, "component").select("node", "component").unionByName(second.join(near, "node", "left_anti"))
+    return docs, near, last
 
 
 def cluster(documents: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
@@ -319,7 +385,7 @@ def cluster(documents: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
     # only nodes with copies or links have anything to tell
     first = reps.join(near.toDF("rep", "first"), "rep", "left").withColumn("first", F.coalesce("first", "rep"))
     told = first.join(last.toDF("first", "component"), "first", "left").select("node", "k", "rep", F.coalesce("component", "first").alias("component")).where("k > 1 OR component <> rep").select("node", "component")
-    scratch.drop("nodes", "met", "led", "joined", "maybe")
+    scratch.drop("nodes", "met", "led", "joined", "apart", "second-pairs", "last-pairs")
     return docs.join(told, "node", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
