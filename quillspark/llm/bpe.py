@@ -55,6 +55,7 @@ class Encoder:
         self.special_ids = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         self.token = self.whole.id_to_token
+        self.plain = spec.get("decoder") is None
         self.pieces = self._own_pieces(spec)
         self.byte_level = _byte_level()
         self.kept: dict[str, list[int]] = {}
@@ -163,7 +164,6 @@ def encoded(texts: list[str], path: str) -> Iterator[tuple[str, str]]:
     one is decoded by the library instead.
     """
     enc = encoder(path)
-    plain = worker_cache("bpe-plain").setdefault(path, json.loads(enc.whole.to_str()).get("decoder") is None)
     cache = worker_cache(f"bpe-stretches-{path}")
     names = worker_cache(f"bpe-names-{path}")
     if not names:
@@ -181,7 +181,7 @@ def encoded(texts: list[str], path: str) -> Iterator[tuple[str, str]]:
                 cache[s] = (" ".join([names[i] for i in ids]), " ".join([token[i] for i in ids]))
         got = [cache[s] for s in stretches if s]
         ids = " ".join([a for a, _ in got if a])
-        yield ids, " ".join([b for _, b in got if b]) if plain else enc.decode([int(i) for i in ids.split()])
+        yield ids, " ".join([b for _, b in got if b]) if enc.plain else enc.decode([int(i) for i in ids.split()])
 
 
 def encode_documents(documents: DataFrame, path: str) -> DataFrame:
