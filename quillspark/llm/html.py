@@ -3,8 +3,8 @@
 The page is read once, tag by tag, into lines: one for each block, with its text, how much of it stands in links, and
 what its containers say.  Lengths of text outside links and outside boilerplate containers are summed over sliding windows
 of lines.  A surge point is a line whose window rises to the page's threshold, a dive point one where it falls below; the
-main text is the stretch between a surge and its dive with the most text, near stretches joined.  Inside an ``article`` or
-``main`` element every line counts as full, so the stretch is that element without its boilerplate.
+main text is the stretch between a surge and its dive with the most text, near stretches joined.  An ``article`` or ``main``
+element is a prior: only its lines are read, all of its stretches are kept, and short lines end none of them, only runs of links do.
 
 Defined cases: null and empty pages give an empty text; pages without any text outside boilerplate give an empty text;
 broken markup is read as far as it goes; texts of any length are kept whole; repeated rows and other columns change nothing.
@@ -125,18 +125,29 @@ def extract(page: str | None) -> str:
             in_article[article] = in_article.get(article, 0) + len(text)
     main = max(in_article, key=lambda k: (in_article[k], -k), default=0)
     kept = [x for x in got if not x[2] and (not main or x[3] == main)]
-    weight = [FULL if main else max(0, len(text) - 2 * linked) for text, linked, _, _ in kept]
+    weight = [max(0, len(text) - 2 * linked) for text, linked, _, _ in kept]
+    if main and not any(weight):
+        weight = [len(text) for text, _, _, _ in kept]  # an article of links alone
+    laden = [not w for w in weight]
     sums = [sum(weight[max(0, i - WINDOW // 2) : i + WINDOW // 2 + 1]) for i in range(len(kept))]
     surge = min(FULL, max(sums, default=0) * 0.5) or 1
     stretches: list[list[int]] = []  # from surge to dive: windows above a quarter of the threshold, one of them above it
     for i, s in enumerate(sums):
-        if s >= surge / 4:
+        # in an article short lines end no stretch, only lines of links do
+        if s >= surge / 4 or main and not laden[i]:
             if stretches and i - stretches[-1][1] < WINDOW:
                 stretches[-1][1] = i + 1
             else:
                 stretches.append([i, i + 1])
-    best = max((x for x in stretches if max(sums[x[0] : x[1]]) >= surge), key=lambda x: (sum(weight[x[0] : x[1]]), -x[0]), default=(0, 0))
-    return "\n".join(text for text, linked, _, _ in kept[best[0] : best[1]] if main or linked * 2 < len(text) or linked < 1)
+    stretches = [x for x in stretches if max(sums[x[0] : x[1]]) >= surge]
+    if not main:
+        stretches = [max(stretches, key=lambda x: (sum(weight[x[0] : x[1]]), -x[0]))] if stretches else []
+    for x in stretches:
+        while laden[x[0]]:
+            x[0] += 1
+        while laden[x[1] - 1]:
+            x[1] -= 1
+    return "\n".join(text for a, b in stretches for text, linked, _, _ in kept[a:b] if main or linked * 2 < len(text) or linked < 1)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

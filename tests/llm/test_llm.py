@@ -167,6 +167,13 @@ def test_html_cases(spark):
     assert {r.page_id: r.n_chars for r in html.extract_pages(df).collect()} == {1: 0, None: 11}
 
 
+def test_html_article_by_surge_and_dive():
+    long, links = "Long text that goes on and on, enough to be a surge in the window, and then some more of it.", "".join(f"<li><a href={i}>Another story {i}</a></li>" for i in range(8))
+    page = f"<article><h1>T</h1><p>1 May</p><p>{long}</p><table><tr><td>1<td>2<td>3<td>4<td>5<td>6<td>7</table><ul>{links}</ul><p>{long}</p><p><a href=x>Read on</a></p><p>The end.</p><ul>{links}</ul></article>"
+    assert html.extract(page) == "\n".join(["T", "1 May", long, *"1234567", long, "Read on", "The end."])
+    assert html.extract(f"<article><ul>{links}</ul></article>") == "\n".join(f"Another story {i}" for i in range(8))
+
+
 def test_decontaminate_cases(spark, odd, none):
     bench = spark.createDataFrame([(1, "alpha BETA gamma"), (2, "epsilon zeta"), (3, None), (4, "??"), (5, " ".join(f"word{i}" for i in range(50, 70)))], "item_id long, text string").withColumn("h", F.lit(0))
     got = decontaminate.report(odd, bench).toPandas()
