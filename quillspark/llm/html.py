@@ -2,9 +2,13 @@
 
 The page is read once, tag by tag, into lines: one for each block, with its text, how much of it stands in links, and
 what its containers say.  Lengths of text outside links and outside boilerplate containers are summed over sliding windows
-of lines.  A surge point is a line whose window rises to the page's threshold, a dive point one where it falls below; the
-main text is the stretch between a surge and its dive with the most text, near stretches joined.  An ``article`` or ``main``
-element is a prior: only its lines are read, all of its stretches are kept, and short lines end none of them, only runs of links do.
+of lines.  A surge point is a line whose window rises to the page's threshold, a dive point one where it falls below; what
+stands between a surge and its dive is a stretch, near stretches joined.  The largest ``article`` or ``main`` element and the lines
+outside of any are two candidates, and the one whose stretches have more text is taken, with all stretches of its main container:
+the article, or else the smallest element with most of the text.  In an article short lines end no stretch, only runs of links do.
+
+Names of boilerplate count as whole names (``sidebar``, ``site-footer``; not ``has-sidebar``).  A form, a header or a container of
+such a name is none where it holds an article or most of the page's text; comments, notices and advertisements (``OTHERS``) only where nothing else is left, or an article is in them.
 
 Defined cases: null and empty pages give an empty text; pages without any text outside boilerplate give an empty text;
 broken markup is read as far as it goes; texts of any length are kept whole; repeated rows and other columns change nothing.
@@ -22,34 +26,53 @@ from pyspark.sql import DataFrame, functions as F
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 RAW = frozenset("script style textarea title noscript template iframe object svg math canvas audio video noembed noframes xmp".split())
-DROPPED = frozenset("nav footer aside form select button menu dialog head datalist fieldset label input option".split())
+#: Boilerplate whatever they hold, and elements that are boilerplate unless most of the page or an article is in them.
+DROPPED = frozenset("nav footer aside select button menu dialog head datalist label input option".split())
+LOOSE = frozenset("form fieldset header".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark a container as boilerplate.
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|header|masthead|topbar|footer|sidebar|side|aside|complementary|contentinfo|banner|ad|ads|adv|advert|adverts|advertisement|sponsor|sponsored|promo|promoted|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|subscribe|subscription|newsletter|signup|login|search|form|breadcrumb|breadcrumbs|pagination|pager|share|sharing|social|related|recommended|widget|toolbar|tags|comment|comments|commentlist|disqus|reply|replies|respond|discussion|copyright|legal|disclaimer|skip|hidden)s?(?=$|[\s_-]|\d)",
-    re.I,
+#: Words in class, id or role that mark a container as boilerplate, where a whole name consists of them and of words that say nothing.
+HINTS = frozenset(
+    "nav navbar navigation menu menubar header masthead topbar footer sidebar side aside complementary contentinfo banner notice alert popup modal overlay signup login search form share sharing social widget toolbar tags legal skip hidden".split()
 )
+#: The same for comments, notices and advertisements: often most of a short page, yet its main text only where there is no other.
+OTHERS = frozenset("comment commentlist disqus reply replies respond discussion cookie consent gdpr ad adv advert advertisement sponsor sponsored promo promoted newsletter subscribe subscription copyright disclaimer related recommended breadcrumb pagination pager".split())
+PLAIN = frozenset("site page global main top bottom left right primary secondary box block container wrapper wrap inner list item section area body bar links".split())
 SPACE = re.compile(r"\s+")
 WINDOW, FULL = 3, 80
-
-
-def lines(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters in links, boilerplate, number of its outermost article or 0) of each block with text, in page order."""
-    out: list[tuple[str, int, bool, int]] = []
+#: Share of the text that the main container of a page without an article has at least.
+MOST = 0.9
+#: How surely an element is boilerplate.
+NO, LIKELY, OTHER, SURE = range(4)
+
+
+def hint(names: str) -> int:
+    """NO, LIKELY or OTHER, by the names in a class, id or role."""
+    worst = NO
+    for name in names.lower().split():
+        parts = [p for p in (re.sub(r"\d+$", "", x) for x in re.split(r"[-_]+", name)) if p]
+        known = [OTHER if OTHERS & {p, p.removesuffix("s")} else LIKELY if HINTS & {p, p.removesuffix("s")} else NO if p in PLAIN else None for p in parts]
+        if known and None not in known:
+            worst = max(worst, *known)
+    return worst
+
+
+def read(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, bool, int, bool]]]:
+    """(text, characters in links, element) of each block with text, and (parent, article or main, boilerplate, header) of each element; in page order."""
+    out: list[tuple[str, int, int]] = []
+    elements = [(0, False, NO, False)]
     text: list[str] = []
-    links = at = articles = link_depth = 0
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, boilerplate, article
-    state = (False, 0)
+    links = at = link_depth = state = 0
+    stack: list[tuple[str, int]] = []  # open elements: name, number
 
     def end_block() -> None:
         nonlocal links
         if text:
             joined = SPACE.sub(" ", "".join(text)).strip()
             if joined:
-                out.append((joined, min(links, len(joined)), *state))
+                out.append((joined, min(links, len(joined)), state))
             text.clear()
         links = 0
 
@@ -72,19 +95,19 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
         if m[1]:
             if name == "a":
                 link_depth = max(0, link_depth - 1)
-            if name in BLOCKS or name in DROPPED:
+            if name in BLOCKS or name in DROPPED or name in LOOSE:
                 end_block()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     if name in BLOCKS or not any(s[0] in BLOCKS for s in stack[k + 1 :]):
                         del stack[k:]
-                        state = stack[-1][1:] if stack else (False, 0)
+                        state = stack[-1][1] if stack else 0
                     break
             continue
         if name == "br":
             text.append(" ")
             continue
-        if name in BLOCKS or name in DROPPED:
+        if name in BLOCKS or name in DROPPED or name in LOOSE:
             end_block()
         if name in VOID or m[3].rstrip().endswith("/") and name in ("path", "svg"):
             continue
@@ -94,60 +117,118 @@ def lines(page: str) -> list[tuple[str, int, bool, int]]:
             continue
         if name == "a":
             link_depth += 1
-        bad, article = state
-        if name in ("article", "main"):
-            if not article and not bad:
-                articles += 1
-                article = articles
-        elif name in DROPPED or name == "header" and not article:
-            bad = True
-        if m[3] and not bad and name not in ("html", "body", "main"):
+        bad = SURE if name in DROPPED else LIKELY if name in LOOSE else NO
+        if m[3] and bad < SURE and name not in ("html", "body", "main"):
             said = {a.lower(): (v or "").strip("\"'") for a, v in ATTRIBUTE.findall(m[3])}
-            if "hidden" in said or said.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", said.get("style", "")) or any(HINT.search(said.get(a, "")) for a in ("class", "id", "role")):
-                bad = True
-                if name == "article" and article == articles and not state[1]:
-                    article = 0
+            if "hidden" in said or said.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", said.get("style", "")):
+                bad = SURE
+            else:
+                bad = max(bad, *(hint(said.get(a, "")) for a in ("class", "id", "role")))
         if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
             stack.pop()  # these end by themselves
-        stack.append((name, bad, article))
-        state = (bad, article)
+        elements.append((stack[-1][1] if stack else 0, name in ("article", "main"), bad, name == "header"))
+        state = len(elements) - 1
+        stack.append((name, state))
     say(page[at:] if not re.match(r"<[a-zA-Z/!]", page[at:]) else re.sub(r"<[^<>]*$", "", page[at:]))
     end_block()
-    return out
-
-
-def extract(page: str | None) -> str:
-    """The main text of a page; its blocks joined by line feeds."""
-    got = lines(page or "")
-    in_article: dict[int, int] = {}
-    for text, _, bad, article in got:
-        if article and not bad:
-            in_article[article] = in_article.get(article, 0) + len(text)
-    main = max(in_article, key=lambda k: (in_article[k], -k), default=0)
-    kept = [x for x in got if not x[2] and (not main or x[3] == main)]
-    weight = [max(0, len(text) - 2 * linked) for text, linked, _, _ in kept]
-    if main and not any(weight):
-        weight = [len(text) for text, _, _, _ in kept]  # an article of links alone
+    return out, elements
+
+
+Line = tuple[str, int, bool, int, int]
+
+
+def lines(page: str) -> tuple[list[Line], list[int]]:
+    """(text, characters in links, boilerplate, its outermost article or 0, element) of each block with text, and each element's parent."""
+    out, elements = read(page)
+    n = len(elements)
+    own, holds, sure = [0] * n, [False] * n, [False] * n
+    for i in range(1, n):
+        sure[i] = elements[i][2] == SURE or sure[elements[i][0]]
+    for text, linked, e in out:
+        if not sure[e]:
+            own[e] += len(text) - linked
+    full = [False] * n  # with any text
+    for _, _, e in out:
+        full[e] = not sure[e]
+    for i in range(n - 1, 0, -1):
+        parent, article, bad, _ = elements[i]
+        own[parent] += own[i]
+        full[parent] |= full[i]
+        holds[parent] |= full[i] and (holds[i] or article and bad == NO)
+    for spared in (LIKELY, OTHER):
+        off, article_of = [False] * n, [0] * n
+        for i in range(1, n):
+            parent, article, bad, header = elements[i]
+            if off[parent] or bad == SURE:
+                off[i] = True
+            elif bad and not (header and bad == LIKELY and article_of[parent]):
+                off[i] = not (holds[i] or bad <= spared and own[i] * 2 > own[0])
+            article_of[i] = article_of[parent] or (i if article and not off[i] else 0)
+        if any(not off[e] for _, _, e in out):
+            break
+    return [(text, linked, off[e], article_of[e], e) for text, linked, e in out], [x[0] for x in elements]
+
+
+def surges(kept: list[Line], article: bool) -> list[list[int]]:
+    """The stretches of lines from surge to dive."""
+    weight = [max(0, len(x[0]) - 2 * x[1]) for x in kept]
+    if article and not any(weight):
+        weight = [len(x[0]) for x in kept]  # an article of links alone
     laden = [not w for w in weight]
     sums = [sum(weight[max(0, i - WINDOW // 2) : i + WINDOW // 2 + 1]) for i in range(len(kept))]
     surge = min(FULL, max(sums, default=0) * 0.5) or 1
-    stretches: list[list[int]] = []  # from surge to dive: windows above a quarter of the threshold, one of them above it
+    out: list[list[int]] = []  # windows above a quarter of the threshold, one of them above it
     for i, s in enumerate(sums):
         # in an article short lines end no stretch, only lines of links do
-        if s >= surge / 4 or main and not laden[i]:
-            if stretches and i - stretches[-1][1] < WINDOW:
-                stretches[-1][1] = i + 1
+        if s >= surge / 4 or article and not laden[i]:
+            if out and i - out[-1][1] < WINDOW:
+                out[-1][1] = i + 1
             else:
-                stretches.append([i, i + 1])
-    stretches = [x for x in stretches if max(sums[x[0] : x[1]]) >= surge]
-    if not main:
-        stretches = [max(stretches, key=lambda x: (sum(weight[x[0] : x[1]]), -x[0]))] if stretches else []
-    for x in stretches:
+                out.append([i, i + 1])
+    out = [x for x in out if max(sums[x[0] : x[1]]) >= surge]
+    for x in out:
         while laden[x[0]]:
             x[0] += 1
         while laden[x[1] - 1]:
             x[1] -= 1
-    return "\n".join(text for a, b in stretches for text, linked, _, _ in kept[a:b] if main or linked * 2 < len(text) or linked < 1)
+    return out
+
+
+def amount(part: list[Line]) -> int:
+    return sum(max(0, len(x[0]) - 2 * x[1]) for x in part)
+
+
+def of_container(stretches: list[list[Line]], parents: list[int]) -> list[list[Line]]:
+    """The stretches with lines in the smallest element that holds MOST of their text."""
+    held = [0] * len(parents)
+    for part in stretches:
+        for x in part:
+            held[x[4]] += amount([x])
+    for i in range(len(parents) - 1, 0, -1):
+        held[parents[i]] += held[i]
+    main = max(i for i, x in enumerate(held) if x >= MOST * held[0])
+    inside = [i == main for i in range(len(parents))]
+    for i in range(1, len(parents)):
+        inside[i] |= inside[parents[i]]
+    return [part for part in stretches if any(inside[x[4]] for x in part)]
+
+
+def extract(page: str | None) -> str:
+    """The main text of a page; its blocks joined by line feeds."""
+    got, parents = lines(page or "")
+    got = [x for x in got if not x[2]]
+    size: dict[int, int] = {}
+    for x in got:
+        if x[3]:
+            size[x[3]] = size.get(x[3], 0) + len(x[0])
+    largest = max(size, key=lambda k: (size[k], -k), default=0)
+    article, rest = [x for x in got if x[3] and x[3] == largest], [x for x in got if not x[3]]
+    inside, outside = ([part[a:b] for a, b in surges(part, part is article)] for part in (article, rest))
+    if outside:
+        outside = of_container(outside, parents)
+    if inside and sum(map(amount, inside)) >= sum(map(amount, outside)):
+        return "\n".join(x[0] for part in inside for x in part)
+    return "\n".join(x[0] for part in outside for x in part if x[1] * 2 < len(x[0]))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

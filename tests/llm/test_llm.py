@@ -174,6 +174,29 @@ def test_html_article_by_surge_and_dive():
     assert html.extract(f"<article><ul>{links}</ul></article>") == "\n".join(f"Another story {i}" for i in range(8))
 
 
+def test_html_loose_boilerplate():
+    a, b = "Long text that goes on and on, enough to be a surge in the window, and then some more of it.", "Another long text of this page that says what the first one has left out, and more than that."
+    links, said = "".join(f"<li><a href={i}>Another story {i}</a></li>" for i in range(8)), "I like this a lot, what a great text, my friend, and how well it is put."
+    both, side = f"<p>{a}</p><p>{b}</p>", "<div class='sidebar'><p>Some words that stand beside the text</p></div>"
+    for page in (
+        f"<div class='content-sidebar-wrap'>{both}</div>{side}",
+        f"<div class='has-sidebar'><main>{both}</main></div>{side}",
+        f"<article class='post category-legal tag-social'>{both}</article>{side}",
+        f"<div class='widget'><article>{both}</article></div>{side}",
+        f"<body><form>{both}</form>{side}",
+        f"<article><p>A teaser of few words</p></article><div>{both}</div><article><p>Another teaser</p></article>",
+        f"<div class=content>{both}</div><div class='comments-area'>{''.join(f'<article class=comment-body><p>{said}</p></article>' for _ in range(9))}</div>",
+        f"<div class=content><p>{a}</p><ul>{links}</ul><p>{b}</p></div>",
+        f"<div class=content><section><p>{a}</p></section><ul>{links}</ul><section><p>{b}</p></section></div><ul>{links}</ul><div>c</div>",
+    ):
+        assert html.extract(page) == f"{a}\n{b}"
+    assert html.extract(f"<article><header class='entry-header'><h1>T</h1></header>{both}</article>") == f"T\n{a}\n{b}"
+    assert html.extract(f"<div class='site-footer'>{said}</div><div class='cookie-banner'>{said * 9}</div>{both}") == f"{a}\n{b}"
+    assert html.extract(f"<div class=ad>{said}</div><article><p>Few words</p></article>") == "Few words"
+    assert html.extract(f"<div class=comments><p>{said}</p></div>") == said
+    assert html.extract("<div>" * 20_000 + both) == f"{a}\n{b}"
+
+
 def test_decontaminate_cases(spark, odd, none):
     bench = spark.createDataFrame([(1, "alpha BETA gamma"), (2, "epsilon zeta"), (3, None), (4, "??"), (5, " ".join(f"word{i}" for i in range(50, 70)))], "item_id long, text string").withColumn("h", F.lit(0))
     got = decontaminate.report(odd, bench).toPandas()
