@@ -81,6 +81,15 @@ RECORD = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("key", "<
 BLOCK = 1_500_000
 
 
+def ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in order, which of them lead their digest, and which are repeats: all others but the lead's own place in a row that stands several times."""
+    rows = rows[np.lexsort((rows["key"], rows["pos"], rows["doc"], rows["digest"]))]
+    first = np.concatenate(([True], rows["digest"][1:] != rows["digest"][:-1]))
+    at = np.flatnonzero(first)
+    lead = np.repeat(at, np.diff(np.append(at, len(rows))))
+    return rows, first, (rows["doc"] != rows["doc"][lead]) | (rows["pos"] != rows["pos"][lead]) | (rows["key"] != rows["key"][lead])
+
+
 def repeats(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, text_key, repeats (chunk numbers) of each text that holds any."""
     spark = documents.sparkSession
@@ -88,13 +97,8 @@ def repeats(documents: DataFrame, scratch: Scratch) -> DataFrame:
     names = ["kind", "p", "v"]
 
     def settle(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate(held)
-        rows = rows[np.lexsort((rows["pos"], rows["doc"], rows["digest"]))]
-        first = np.concatenate(([True], rows["digest"][1:] != rows["digest"][:-1]))
-        # the same place in a row that stands twice is no repeat
-        twin = np.concatenate(([False], (rows["doc"][1:] == rows["doc"][:-1]) & (rows["pos"][1:] == rows["pos"][:-1]) & (rows["key"][1:] == rows["key"][:-1]) & first[:-1]))
-        again = rows[~first & ~twin]
-        rows = rows[first]
+        rows, first, again = ranked(np.concatenate(held))
+        again, rows = rows[again], rows[first]
         p = (rows["digest"] % np.uint64(parts)).astype(np.int64)
         order = np.argsort(p, kind="stable")
         rows, at = rows[order], np.searchsorted(p[order], np.arange(parts + 1))
@@ -124,11 +128,8 @@ def repeats(documents: DataFrame, scratch: Scratch) -> DataFrame:
 
     def meet(t: pa.Table) -> pa.Table:
         rows = np.frombuffer(b"".join(t.column("v").to_pylist()), dtype=RECORD)
-        rows = rows[np.lexsort((rows["pos"], rows["doc"], rows["digest"]))]
-        first = np.flatnonzero(np.concatenate(([True], rows["digest"][1:] != rows["digest"][:-1])))
-        lead = np.repeat(first, np.diff(np.append(first, len(rows))))
-        same = (rows["doc"] == rows["doc"][lead]) & (rows["pos"] == rows["pos"][lead]) & (rows["key"] == rows["key"][lead])
-        rows = rows[~same]
+        rows, _, again = ranked(rows)
+        rows = rows[again]
         return pa.table({"doc_id": rows["doc"], "text_key": rows["key"], "pos": rows["pos"]}, schema=pa.schema(PLACES))
 
     def unpack(batches):

@@ -248,6 +248,14 @@ def test_substrings_brute_force(spark, odd, none):
     assert substrings.deduplicate(none).count() == 0
 
 
+def test_substrings_rows_that_stand_often(spark):
+    text, other = (" ".join(f"{w}{i}" for i in range(80)) for w in ("word", "term"))
+    df = spark.createDataFrame([(1, text)] * 5 + [(2, text)] * 3 + [(None, other)] * 4, "doc_id long, text string")
+    for parts in (1, 3):
+        got = sorted((r.doc_id or 0, r.n_spans, r.text) for r in substrings.deduplicate(df.repartition(parts)).collect())
+        assert got == [(0, 0, other)] * 4 + [(1, 0, text)] * 5 + [(2, 1, "")] * 3
+
+
 def brute_clusters(rows):
     def shingles(t):
         w = [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
