@@ -390,6 +390,15 @@ def cluster(documents: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
 
 
 def representatives(documents: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
-    """The documents that stand for their group (the smallest doc_id), with all their columns."""
-    kept = cluster(documents, percent, n).where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(kept, F.col("doc_id").cast("long") == kept["doc_id"], "left_semi") if dict(documents.dtypes)["doc_id"] != "bigint" else documents.join(kept, "doc_id", "left_semi")
+    """The documents that stand for their group (the smallest doc_id), with all their columns.
+
+    A row without an id takes part by its text: it goes where its group holds an id or one of its copies stands already, else it
+    stays.  Rows without an id and without words are all kept.
+    """
+    made = F.lit(1 << 62) + F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit((1 << 62) - 1))  # above all ids
+    rows = documents.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), made))
+    kept = cluster(rows.select(F.col("__id").alias("doc_id"), "text"), percent, n).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    worded = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0d]")
+    named, unnamed = rows.where("doc_id IS NOT NULL"), rows.where("doc_id IS NULL")
+    rows = named.unionByName(unnamed.where(~worded)).unionByName(unnamed.where(worded).dropDuplicates(["__id"]))
+    return rows.join(kept, "__id", "left_semi").drop("__id")

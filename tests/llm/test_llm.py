@@ -289,6 +289,17 @@ def test_jaccard_brute_force(spark, odd, none):
     assert jaccard.cluster(none).count() == 0
 
 
+def test_jaccard_representatives_without_ids(spark, odd, none):
+    w = [f"w{i}" for i in range(40)]
+    a, near, b = " ".join(w), " ".join(w[:-1] + ["x"]), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, a), (2, near), (None, a), (None, near), (None, b), (None, b), (None, "one of its own"), (None, ""), (None, " "), (None, None), (None, None), (3, ""), (4, None)]
+    got = [tuple(r) for r in jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [rows[0], rows[4], *rows[6:]]))
+    cases = jaccard.representatives(odd)
+    assert cases.columns == odd.columns and sorted(map(str, (r.doc_id for r in cases.collect()))) == sorted(map(str, (1, 1, 3, 4, 5, None, 6, 8)))
+    assert jaccard.representatives(none).count() == 0
+
+
 def test_vectors_brute_force(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(20, 16))
