@@ -1,6 +1,6 @@
 """Substring deduplication by content-defined chunking.
 
-A gear rolling hash over the last 16 bytes cuts texts into chunks of about 32 bytes wherever certain bits are zero, so cuts
+A gear rolling hash over the last 16 bytes cuts texts into chunks of about 16 bytes wherever certain bits are zero, so cuts
 follow the content and an insertion moves none but its own.  Chunks are deduplicated by 64-bit digests: the first occurrence, in order
 of doc_id and position, stays, and later ones are repeats.  A stretch of consecutive repeats of at least ``SHORTEST`` bytes is taken
 out of its text; shorter ones are how people write, and stay.
@@ -28,8 +28,8 @@ WINDOW, LONGEST = 16, 1024
 #: when the partial chunks at both ends are not counted.
 SHORTEST = 100
 GEAR = seeded(256, 3).astype(np.uint32)
-#: Bits of the hash that have to be zero at a cut: the five that hang on all of the window.
-MASK = np.uint32(0b11111 << (WINDOW - 5))
+#: Bits of the hash that have to be zero at a cut: the upper four of those that hang on the window.
+MASK = np.uint32(0b1111 << (WINDOW - 4))
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

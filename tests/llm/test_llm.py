@@ -256,6 +256,16 @@ def test_substrings_rows_that_stand_often(spark):
         assert got == [(0, 0, other)] * 4 + [(1, 0, text)] * 5 + [(2, 1, "")] * 3
 
 
+def test_substrings_short_passages_are_found():
+    rng = np.random.default_rng(9)
+    some = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), size=5)) for _ in range(n))
+    missed = 0
+    for _ in range(400):
+        passage = some(46)  # 275 bytes
+        missed += brute_dedup([(1, f"{some(9)} {passage} {some(9)}"), (2, other := f"{some(9)} {passage} {some(9)}")])[2] == other
+    assert missed < 400 * 0.03
+
+
 def brute_clusters(rows):
     def shingles(t):
         w = [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
