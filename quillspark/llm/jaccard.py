@@ -34,8 +34,10 @@ from .common import Scratch, text_rows
 from .graph import Forest, components
 
 HEAVY_KEPT = 200_000
+#: Documents of one task, and of all of them, from which on a shingle counts as frequent; the same at every size.
+OFTEN_HERE, OFTEN = 8, 32
 #: Nodes of a leader that meet in one tile.
-TILE = 1024
+TILE = 256
 #: Neighbours in size that are paired first, in postings of more nodes; all postings are paired in full afterwards.
 NEAR = 32
 #: Pairs whose bitmaps are compared at once, and bytes of bitmaps.
@@ -52,14 +54,13 @@ def needed(nx, ny, percent: int):
     return -((-percent * (nx + ny)) // (100 + percent))
 
 
-def prefix(s: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a sorted set, frequent ones last, one of which any partner shares."""
+def prefix(s: np.ndarray, heavy: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a sorted set, frequent ones last and the most frequent (by level) last of all, one of which any partner shares."""
     length = len(s) - (-((-percent * len(s)) // 100)) + 1
     if not len(heavy):
         return s[:length]
     at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-    is_heavy = heavy[at] == s
-    return np.concatenate((s[~is_heavy], s[is_heavy]))[:length]
+    return s[np.argsort(np.where(heavy[at] == s, level[at], 0), kind="stable")[:length]]
 
 
 def bits_for(size: int) -> int:
@@ -184,7 +185,7 @@ def _scan(percent: int, n: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: doc_id, size, node; kind 1: shingle, documents of this task that have it (where they are many)."""
         seen: set[int] = set()
-        tally, pending, docs = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
+        tally, pending = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
         names = ["kind", "a", "b", "c"]
 
         def settle():
@@ -194,7 +195,7 @@ def _scan(percent: int, n: int):
             values, at = np.unique(parts, return_inverse=True)
             tally = values, np.bincount(at, weights=weight, minlength=len(values)).astype(np.int64)
             pending.clear()
-            if len(values) > 4_000_000:  # rare ones are let go: the tally only orders the filter
+            if len(values) > 2_000_000:  # rare ones are let go: the tally only orders the filter
                 keep = tally[1] > 1
                 tally = values[keep], tally[1][keep]
 
@@ -206,13 +207,12 @@ def _scan(percent: int, n: int):
                     if len(s) and node not in seen:
                         seen.add(node)
                         pending.append(s)
-                        docs += 1
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column(0).slice(part.start, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names)
-                if sum(map(len, pending)) > 2_000_000:
+                if sum(map(len, pending)) > 1_000_000:
                     settle()
         if pending:
             settle()
-        many = np.flatnonzero(tally[1] >= max(8, docs // 1000))
+        many = np.flatnonzero(tally[1] >= OFTEN_HERE)
         if len(many):
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(many), np.int32)), pa.array(tally[0][many].view(np.int64)), pa.array(tally[1][many]), pa.array(np.zeros(len(many), np.int64))], names)
 
@@ -226,9 +226,11 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     scan = scratch.save(texts.mapInArrow(_scan(percent, n), "kind int, a long, b long, c long"), "scan")
     docs = scan.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("size"), F.col("c").alias("node"))
-    least = max(32, docs.count() // 1000)
-    top = scan.where("kind = 1").groupBy("a").agg(F.sum("b").alias("k")).where(F.col("k") >= least).orderBy(F.desc("k"), "a").limit(HEAVY_KEPT).select("a").collect()  # bounded; an order, not a filter
-    heavy = spark.sparkContext.broadcast(np.sort(np.array([r["a"] for r in top], dtype=np.int64).view(np.uint64)))
+    often = scan.where("kind = 1").groupBy("a").agg(F.sum("b").alias("k")).where(F.col("k") >= OFTEN)
+    top = often.orderBy(F.desc("k"), "a").limit(HEAVY_KEPT).collect()  # bounded; an order, not a filter
+    hashes = np.array([r["a"] for r in top], dtype=np.int64).view(np.uint64)
+    level = np.array([r["k"].bit_length() for r in top], dtype=np.int8)
+    heavy = spark.sparkContext.broadcast((np.sort(hashes), level[np.argsort(hashes)]))
     record = np.dtype([("h", "<u8"), ("node", "<i8"), ("size", "<i4")])
 
     def postings(batches):
@@ -250,7 +252,7 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
                     if not len(s) or (node := fingerprint(s)) in seen:
                         continue
                     seen.add(node)
-                    first = prefix(s, heavy.value, percent)
+                    first = prefix(s, *heavy.value, percent)
                     rows = np.empty(len(first), dtype=record)
                     rows["h"], rows["node"], rows["size"] = first, node, len(s)
                     held.append(rows)
@@ -290,21 +292,26 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
     alive = met.where("kind = 1").select(F.col("a").alias("node")).distinct()
     reps_alive = scratch.save(reps.join(alive, "node", "left_semi"), "reps")
 
+    # tiles: a leader's nodes, in parts of about TILE, the leader in each; texts join their places in them, so that they move once for both
+    counts = led.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    members = led.join(counts, "leader").select("node", "leader", F.pmod("node", F.col("tiles")).cast("int").alias("tile"))
+    leaders = counts.select(F.col("leader").alias("node"), "leader", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    places = reps_alive.join(members, "node", "left").withColumn("main", F.lit(True)).unionByName(reps_alive.join(leaders, "node").withColumn("main", F.lit(False)))
+
     def described(batches):
+        """Each place with its text, and the bitmap where it is the node's main one."""
         for batch in batches:
             for part, data, offsets in chunks(batch):
                 sets = shingle_sets(data, offsets, n)
                 rest = batch.slice(part.start, len(sets))
                 keep = [k for k, (s, node) in enumerate(zip(sets, rest.column(2).to_pylist())) if fingerprint(s) == node]  # a repeated id may have another text
+                main = rest.column(5).to_pylist()
+                bits = [bitmap(sets[k], bits_for(len(sets[k]))).tobytes() if main[k] else b"" for k in keep]
                 at = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([rest.column(0).take(at), rest.column(2).take(at), pa.array([len(sets[k]) for k in keep], pa.int64()), pa.array([bitmap(sets[k], bits_for(len(sets[k]))).tobytes() for k in keep], pa.binary()), rest.column(1).take(at)], ["doc_id", "node", "size", "bits", "text"])
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in rest.columns), pa.array(bits, pa.binary())], [*rest.schema.names, "bits"])
 
-    nodes = scratch.save(texts.join(reps_alive, "doc_id").select("doc_id", "text", "node").mapInArrow(described, "doc_id long, node long, size long, bits binary, text string"), "nodes")
-
-    # tiles: a leader's nodes, in parts of about TILE, the leader in each
-    counts = led.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    members = led.join(counts, "leader").select("node", "leader", F.pmod("node", F.col("tiles")).cast("int").alias("tile"))
-    members = members.unionByName(counts.select(F.col("leader").alias("node"), "leader", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile")))
+    placed_texts = texts.join(places, "doc_id").select("doc_id", "text", "node", "leader", "tile", "main")
+    nodes = scratch.save(placed_texts.mapInArrow(described, "doc_id long, text string, node long, leader long, tile int, main boolean, bits binary"), "nodes")
 
     def tile(t: pa.Table) -> pa.Table:
         t = t.sort_by("doc_id")
@@ -317,7 +324,7 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
         root = joins.roots()
         return pa.table({"a": ids[root], "b": ids}).filter(pa.array(root != np.arange(len(sets)), pa.bool_()))
 
-    tiles = members.join(nodes.select("node", "doc_id", "text"), "node").groupBy("leader", "tile").applyInArrow(tile, "a long, b long")
+    tiles = nodes.where("tile IS NOT NULL").select("leader", "tile", "doc_id", "text").groupBy("leader", "tile").applyInArrow(tile, "a long, b long")
     joined = scratch.save(tiles, "joined")
 
     # postings of pairs that are still apart
@@ -349,7 +356,7 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
             ok = [overlap(s, t) >= needed(len(s), len(t), percent) for s, t in zip(p, q)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
 
-    whole, bitmaps = nodes.select("doc_id", "text"), nodes.select("node", "bits")
+    whole, bitmaps = nodes.where("main").select("doc_id", "text"), nodes.where("main").select("node", "bits")
 
     def apart(rows: DataFrame) -> DataFrame:
         """Rows (h, node, doc_id, size, component) of postings that hold several components."""
@@ -362,7 +369,9 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
         pairs = dealt.groupBy("p").applyInArrow(across(neighbours), "x long, y long, loose long, a long, b long")
         pairs = pairs.groupBy("x", "y").agg(F.min(F.struct("loose", "a", "b")).alias("m")).select("x", "y", "m.a", "m.b") if neighbours else pairs.select("x", "y", "a", "b").distinct()
         pairs = scratch.save(pairs, f"{name}-pairs")
-        linked = pairs.join(whole.toDF("a", "text_a"), "a").join(whole.toDF("b", "text_b"), "b").select("x", "y", "text_a", "text_b").mapInArrow(exact, "a long, b long")
+        asked = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-asked")
+        some = whole.join(asked, "doc_id", "left_semi")  # only texts of candidates move on
+        linked = pairs.join(some.toDF("a", "text_a"), "a").join(some.toDF("b", "text_b"), "b").select("x", "y", "text_a", "text_b").mapInArrow(exact, "a long, b long")
         return components(linked, scratch, name)
 
     rest = scratch.save(apart(shared), "apart")
@@ -385,7 +394,7 @@ def cluster(documents: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
     # only nodes with copies or links have anything to tell
     first = reps.join(near.toDF("rep", "first"), "rep", "left").withColumn("first", F.coalesce("first", "rep"))
     told = first.join(last.toDF("first", "component"), "first", "left").select("node", "k", "rep", F.coalesce("component", "first").alias("component")).where("k > 1 OR component <> rep").select("node", "component")
-    scratch.drop("nodes", "met", "led", "joined", "apart", "second-pairs", "last-pairs")
+    scratch.drop("nodes", "met", "led", "joined", "apart", "second-pairs", "second-asked", "last-pairs", "last-asked")
     return docs.join(told, "node", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
