@@ -31,15 +31,38 @@ class Forest:
         return np.array([self.root(x) for x in range(len(self.up))], dtype=np.int64)
 
 
+#: Links that one task settles in memory; more take rounds of joins until as few are left or nothing changes.
+AT_ONCE = 200_000
+
+
+def settled(batches):
+    """(u, v) of each node and the smallest it reaches, for the links of one task."""
+    import pyarrow as pa
+
+    got = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    if got:
+        names, at = np.unique(np.concatenate(got, axis=1), return_inverse=True)
+        forest = Forest(len(names))
+        for x, y in at.reshape(2, -1).T.tolist():
+            forest.union(x, y)
+        root = forest.roots()
+        far = root != np.arange(len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(names[far]), pa.array(names[root[far]])], ["u", "v"])
+
+
 def components(links: DataFrame, scratch: Scratch, name: str = "cc", rounds: int = 40) -> DataFrame:
     """node, component (the smallest node reachable) of every node in links (a long, b long).
 
     Alternates large-star and small-star steps: each hooks a node's neighbours to the smallest around it, so that the depth
-    halves or better each round; every round is a written table.  Ends when a round changes nothing.
+    halves or better each round; every round is a written table.  Ends when a round changes nothing, or, with the same outcome,
+    in one task once no more than AT_ONCE links are left.
     """
     edges = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
     seen = None
     for k in range(1, rounds + 1):
+        if edges.count() <= AT_ONCE:
+            edges = scratch.save(edges.coalesce(1).mapInArrow(settled, "u long, v long"), f"{name}-settled")
+            break
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: larger neighbours go to the smallest of the neighbourhood

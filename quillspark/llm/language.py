@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bytes import LOWER, chunks
-from .common import remainder
+from .common import lean, remainder
 
 DIM = 4096
 #: Letters keep a code of their own (high bytes too, as parts of letters); all else is one separator, 0.
@@ -27,6 +27,17 @@ LETTER_CODE[97:123] = np.arange(1, 27)
 LETTER_CODE[128:256] = np.arange(27, 155)
 
 
+#: Texts whose counts are held at once: a row is DIM floats.
+ROWS = 256
+
+
+def pieces(part: slice, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """A chunk in pieces of at most ROWS texts."""
+    for k in range(0, len(offsets) - 1, ROWS):
+        at = offsets[k : k + ROWS + 1]
+        yield slice(part.start + k, part.start + k + len(at) - 1), data[at[0] : at[-1]], at - at[0]
+
+
 def trigram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Hashed trigram counts of each text of a chunk; trigrams around a separator count, those in the middle of two don't."""
     n = len(offsets) - 1
@@ -49,7 +60,12 @@ def codewords(classes: int) -> np.ndarray:
         bits = (splits[None, :] >> np.arange(classes)[:, None]) & 1
     else:
         rng = np.random.default_rng(11)
-        bits = np.stack([rng.permutation(np.arange(classes) % 2) for _ in range(max(24, int(np.ceil(10 * np.log2(classes)))))], axis=1)
+        columns: dict[bytes, np.ndarray] = {}  # no split twice, nor its complement
+        while len(columns) < max(24, int(np.ceil(10 * np.log2(classes)))):
+            bit = rng.permutation(np.arange(classes) % 2)
+            bit = bit if bit[0] else 1 - bit
+            columns[bit.tobytes()] = bit
+        bits = np.stack(list(columns.values()), axis=1)
     return bits * 2.0 - 1
 
 
@@ -86,7 +102,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model | None
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(1)
-            for part, data, offsets in chunks(batch):
+            for part, data, offsets in (piece for chunk in chunks(batch) for piece in pieces(*chunk)):
                 x = trigram_counts(data, offsets)
                 code = langs.slice(part.start, part.stop - part.start).dictionary_encode()
                 which = code.indices.to_numpy(zero_copy_only=False)
@@ -99,19 +115,18 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model | None
         return pa.table({"lang": [t.column("lang")[0].as_py()], "v": [np.sum([np.frombuffer(v) for v in t.column("v").to_pylist()], axis=0).tobytes()]}, schema=arrow)
 
     known = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    got = sorted((r["lang"], r["v"]) for r in known.mapInArrow(summed, schema).groupBy("lang").applyInArrow(added, schema).collect())
+    got = sorted((r["lang"], r["v"]) for r in known.mapInArrow(lean(summed), schema).groupBy("lang").applyInArrow(added, schema).collect())
     return Model([k for k, _ in got], np.array([np.frombuffer(v) for _, v in got])) if got else None
 
 
 def predict(documents: DataFrame, model: Model | None, ambiguous_below: float = 0.2) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous of every row."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # DIM x bits floats, whatever the corpus
+    m = model  # DIM x bits floats, whatever the corpus; travels with the function, by value
 
     def labelled(batches: Iterator[pa.RecordBatch]):
-        m = shared.value
         for batch in batches:
             texts = batch.column(1)
-            for part, data, offsets in chunks(batch):
+            for part, data, offsets in (piece for chunk in chunks(batch) for piece in pieces(*chunk)):
                 n = part.stop - part.start
                 letters = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.slice(part.start, n).to_pylist()], dtype=bool)
                 if m is None:
@@ -123,7 +138,7 @@ def predict(documents: DataFrame, model: Model | None, ambiguous_below: float =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, n), pa.array(names, pa.string()), pa.array(score.astype(float)), pa.array(lead < ambiguous_below)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(labelled, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(lean(labelled), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def identify(documents: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bytes import IS_SPACE, LOWER, chunks, span_hashes, spans
-from .common import Scratch, remainder, text_rows
+from .common import Scratch, lean, remainder, text_rows
 
 N_STATS = 24
 #: Classes of bytes: lower, upper, digit, blank, line feed, sentence marks, other marks, lead bytes, later bytes, controls.
@@ -93,7 +93,7 @@ def _statistic_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def document_statistics(documents: DataFrame) -> DataFrame:
     """doc_id, x: one row per row of documents, from the whole text."""
-    return text_rows(documents).mapInArrow(_statistic_rows, "doc_id long, x array<double>")
+    return text_rows(documents).mapInArrow(lean(_statistic_rows), "doc_id long, x array<double>")
 
 
 @dataclass
@@ -223,11 +223,10 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
 def apply(stats: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted of each row of statistics."""
-    shared = stats.sparkSession.sparkContext.broadcast(model)  # a few hundred kB, whatever the corpus
 
-    def scored(batches):
+    def scored(batches):  # the model, some 60 kB whatever the corpus, travels with the function, by value
         for b in batches:
-            s = np.clip(shared.value.score(matrix(b)), 0, 1)
+            s = np.clip(model.score(matrix(b)), 0, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return stats.select("doc_id", "x").mapInArrow(scored, "doc_id long, score double, predicted int")
@@ -245,12 +244,11 @@ def filter_documents(documents: DataFrame, labels: DataFrame, threshold: float =
     scratch = Scratch(documents.sparkSession, "quality")
     model = fit(scratch.save(document_statistics(documents), "stats"), labels)
     scratch.drop()
-    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = [shared.value.score(statistics(data, offsets)) for _, data, offsets in chunks(batch)]
+            score = [model.score(statistics(data, offsets)) for _, data, offsets in chunks(batch)]
             if score:
                 yield batch.filter(pa.array(np.concatenate(score) >= threshold))
 
-    return documents.mapInArrow(kept, documents.schema)
+    return documents.mapInArrow(lean(kept), documents.schema)
