@@ -23,7 +23,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+MARK = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 RAW = frozenset("script style textarea title noscript template iframe object svg math canvas audio video noembed noframes xmp".split())
 #: Boilerplate whatever they hold, and elements that are boilerplate unless most of the page or an article is in them.
@@ -59,13 +60,101 @@ def hint(names: str) -> int:
     return worst
 
 
+class Scanner:
+    """Tags of a page, one by one, in time linear in its length whatever the markup."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, 0
+        self.quotes = True  # until one of a tag swallows the rest of the page
+        self.raw: dict[str, re.Pattern] = {}
+
+    def end_of_tag(self, at: int) -> int:
+        """The place of the > that ends the tag, outside quotes; -1: none."""
+        page, first = self.page, self.page.find(">", at)
+        if first < 0 or not self.quotes:
+            return first
+        while m := MARK.search(page, at):
+            if m[0] == ">":
+                return m.start()
+            close = page.find(m[0], m.end())
+            at = m.end() if close < 0 else close + 1  # a quote that never ends is none
+        self.quotes = False
+        return first
+
+    def tags(self) -> Iterator[tuple[str, str, str, str]]:
+        """(text before, kind: open, close, cdata or none, name, attributes) up to the last tag; what is left begins at `at`."""
+        page, size, look = self.page, len(self.page), 0
+        while (lt := page.find("<", look)) >= 0:
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                after, kind, name, said = (size if end < 0 else end + 3), "none", "", ""
+            elif page.startswith("<![CDATA[", lt) and (end := page.find("]]>", lt)) >= 0:
+                after, kind, name, said = end + 3, "cdata", "", page[lt + 9 : end]
+            elif page[lt + 1 : lt + 2] in ("!", "?"):
+                if (end := page.find(">", lt)) < 0:
+                    break
+                after, kind, name, said = end + 1, "none", "", ""
+            elif m := NAME.match(page, lt + 1):
+                if (end := self.end_of_tag(m.end())) < 0:
+                    break
+                after, kind, name, said = end + 1, "close" if m[1] else "open", m[2].lower(), page[m.end() : end]
+            else:
+                look = lt + 1
+                continue
+            before, self.at = page[self.at : lt], after
+            yield before, kind, name, said
+            look = self.at  # skip() may have moved it on
+
+    def skip(self, name: str) -> None:
+        """Past the closing tag of an element whose content is no markup."""
+        if name not in self.raw:
+            self.raw[name] = re.compile(rf"</{re.escape(name)}\b", re.I)
+        close = self.raw[name].search(self.page, self.at)
+        end = self.page.find(">", close.end()) if close else -1
+        self.at = len(self.page) if end < 0 else end + 1
+
+
+class Stack:
+    """Open elements; any of them is found by name at once."""
+
+    def __init__(self):
+        self.open: list[tuple[str, int]] = []  # name, number
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def top(self) -> tuple[str, int]:
+        return self.open[-1] if self.open else ("", 0)
+
+    def push(self, name: str, number: int) -> None:
+        self.places.setdefault(name, []).append(len(self.open))
+        if name in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append((name, number))
+
+    def pop(self) -> None:
+        name, _ = self.open.pop()
+        self.places[name].pop()
+        if name in BLOCKS:
+            self.blocks.pop()
+
+    def close(self, name: str) -> bool:
+        """Ends the innermost element of that name; inline ones only where no block stands between."""
+        places = self.places.get(name)
+        if not places or name not in BLOCKS and self.blocks and self.blocks[-1] > places[-1]:
+            return False
+        at = places[-1]
+        while len(self.open) > at:
+            self.pop()
+        return True
+
+
 def read(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, bool, int, bool]]]:
     """(text, characters in links, element) of each block with text, and (parent, article or main, boilerplate, header) of each element; in page order."""
     out: list[tuple[str, int, int]] = []
     elements = [(0, False, NO, False)]
     text: list[str] = []
-    links = at = link_depth = state = 0
-    stack: list[tuple[str, int]] = []  # open elements: name, number
+    links = link_depth = state = 0
+    stack, scanner = Stack(), Scanner(page)
 
     def end_block() -> None:
         nonlocal links
@@ -84,52 +173,47 @@ def read(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, bool, i
             if link_depth:
                 links += len(plain.strip())
 
-    while m := TAG.search(page, at):
-        say(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                text.append(m[0][9:-3])
+    for before, kind, name, said_raw in scanner.tags():
+        say(before)
+        if kind == "none":
             continue
-        name = m[2].lower()
-        if m[1]:
+        if kind == "cdata":
+            text.append(said_raw)
+            continue
+        if kind == "close":
             if name == "a":
                 link_depth = max(0, link_depth - 1)
             if name in BLOCKS or name in DROPPED or name in LOOSE:
                 end_block()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name in BLOCKS or not any(s[0] in BLOCKS for s in stack[k + 1 :]):
-                        del stack[k:]
-                        state = stack[-1][1] if stack else 0
-                    break
+            if stack.close(name):
+                state = stack.top()[1]
             continue
         if name == "br":
             text.append(" ")
             continue
         if name in BLOCKS or name in DROPPED or name in LOOSE:
             end_block()
-        if name in VOID or m[3].rstrip().endswith("/") and name in ("path", "svg"):
+        if name in VOID or said_raw.rstrip().endswith("/") and name in ("path", "svg"):
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            scanner.skip(name)
             continue
         if name == "a":
             link_depth += 1
         bad = SURE if name in DROPPED else LIKELY if name in LOOSE else NO
-        if m[3] and bad < SURE and name not in ("html", "body", "main"):
-            said = {a.lower(): (v or "").strip("\"'") for a, v in ATTRIBUTE.findall(m[3])}
+        if said_raw and bad < SURE and name not in ("html", "body", "main"):
+            said = {a.lower(): (v or "").strip("\"'") for a, v in ATTRIBUTE.findall(said_raw)}
             if "hidden" in said or said.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", said.get("style", "")):
                 bad = SURE
             else:
                 bad = max(bad, *(hint(said.get(a, "")) for a in ("class", "id", "role")))
-        if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
+        if name in ("p", "li") and stack.top()[0] == name:
             stack.pop()  # these end by themselves
-        elements.append((stack[-1][1] if stack else 0, name in ("article", "main"), bad, name == "header"))
+        elements.append((stack.top()[1], name in ("article", "main"), bad, name == "header"))
         state = len(elements) - 1
-        stack.append((name, state))
-    say(page[at:] if not re.match(r"<[a-zA-Z/!]", page[at:]) else re.sub(r"<[^<>]*$", "", page[at:]))
+        stack.push(name, state)
+    rest = page[scanner.at :]
+    say(rest if not re.match(r"<[a-zA-Z/!]", rest) else re.sub(r"<[^<>]*\Z", "", rest))
     end_block()
     return out, elements
 
