@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import Scratch
+
 #: Benchmark windows up to which their hash set is broadcast (24 bytes each and their words).
 BROADCAST_WINDOWS = 200_000
 
@@ -39,25 +41,42 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, n: int = 8) -> DataFrame:
-    """doc_id, text_key, at (0-based word), size, item_id: every occurrence of a benchmark window in a document."""
-    windows = benchmark_windows(benchmark, n).persist()
-    sizes = [r["size"] for r in windows.select("size").distinct().orderBy("size").collect()]  # at most n values
-    count = windows.count()
+    """doc_id, text_key, at (0-based word), size, item_id: every occurrence of a benchmark window in a document.
+
+    One pass over the documents probes the hashes of windows of all sizes; words are cut out and compared after a hit only.
+    """
+    windows = benchmark_windows(benchmark, n)
+    sizes = {r["size"]: r["k"] for r in windows.groupBy("size").agg(F.count(F.lit(1)).alias("k")).collect()}  # at most n rows
+    small = sum(sizes.values()) <= BROADCAST_WINDOWS
     docs = keyed(documents).select("doc_id", "text_key", words().alias("w"))
-    found = None
-    for size in sizes:
-        own = windows.where(F.col("size") == size).select("item_id", "window", F.xxhash64(*[F.get("window", F.lit(k)) for k in range(size)]).alias("h"))
-        keys = own.select("h").distinct()
-        at = docs.select("doc_id", "text_key", "w", F.posexplode("w").alias("at", "word"))
-        # the last size-1 words of a text start no window
-        at = at.where(F.col("at") <= F.size("w") - size).select("doc_id", "text_key", "at", window_hash(F.col("w"), F.col("at"), size).alias("h"), F.slice("w", F.col("at") + 1, size).alias("window"))
-        if count <= BROADCAST_WINDOWS:
-            at, own = at.join(F.broadcast(keys), "h", "left_semi"), F.broadcast(own)
-        one = at.join(own, ["h", "window"]).select("doc_id", "text_key", "at", F.lit(size).alias("size"), "item_id")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = docs.select("doc_id", "text_key", F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("item_id")).where("false")
-    return found
+    if not sizes:
+        return docs.select("doc_id", "text_key", F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("item_id")).where("false")
+    own = windows.select("item_id", "size", "window", of_size(sizes, lambda k: F.xxhash64(*[F.get("window", F.lit(j)) for j in range(k)])).alias("h"))
+    keys = own.select("size", "h").distinct()
+    at = docs.select("doc_id", "text_key", "w", F.posexplode("w").alias("at", "word")).drop("word")
+    if len(sizes) > 1:
+        at = at.withColumn("size", F.explode(F.lit(sorted(sizes))))
+    else:
+        at = at.withColumn("size", F.lit(next(iter(sizes))))
+    # the last size-1 words of a text start no window
+    at = at.where(F.col("at") <= F.size("w") - F.col("size")).withColumn("h", of_size(sizes, lambda k: window_hash(F.col("w"), F.col("at"), k)))
+    if small:
+        at, own = at.join(F.broadcast(keys), ["size", "h"], "left_semi"), F.broadcast(own)
+        at = at.withColumn("window", F.slice("w", F.col("at") + 1, F.col("size")))
+    else:  # only hashes travel to the keys; the words of a hit are cut out of its text afterwards, by the row's place
+        at = at.select("doc_id", "text_key", "at", "size", "h").join(keys, ["size", "h"], "left_semi")
+        texts = docs.dropDuplicates(["doc_id", "text_key"]).withColumnRenamed("doc_id", "d").withColumnRenamed("text_key", "t")
+        at = at.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
+        at = at.withColumn("window", F.slice("w", F.col("at") + 1, F.col("size")))
+    return at.join(own, ["size", "h", "window"]).select("doc_id", "text_key", "at", "size", "item_id")
+
+
+def of_size(sizes, value) -> Column:
+    """value(k) of the rows whose size is k."""
+    out = None
+    for k in sorted(sizes):
+        out = F.when(F.col("size") == k, value(k)) if out is None else out.when(F.col("size") == k, value(k))
+    return out
 
 
 def hit_words(found: DataFrame) -> DataFrame:
@@ -67,14 +86,13 @@ def hit_words(found: DataFrame) -> DataFrame:
 
 def report(documents: DataFrame, benchmark: DataFrame, n: int = 8, items: int = 2) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of documents."""
-    found = hits(documents, benchmark, n).select("doc_id", "text_key", "at", "size", "item_id")
-    by_item = found.select("doc_id", "text_key", "item_id", "at", "size").groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.transform(F.collect_set("item_id"), lambda x: x.cast("string"))).alias("items"),
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1))))).alias("n_hit"),
-    )
+    found = Scratch(documents.sparkSession, "decontaminate").save(hits(documents, benchmark, n).distinct(), "found")  # hits only; read twice
+    n_hit = hit_words(found).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n_hit"))
+    by_item = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.transform(F.collect_set("item_id"), lambda x: x.cast("string"))).alias("items"))
     docs = keyed(documents).select("doc_id", "text_key", F.size(words()).cast("long").alias("n_words"))
     # null ids meet too: <=> keeps the row's own result
-    joined = docs.alias("d").join(by_item.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.text_key = f.text_key"), "left")
+    same = lambda t: F.expr(f"d.doc_id <=> {t}.doc_id AND d.text_key = {t}.text_key")
+    joined = docs.alias("d").join(by_item.alias("f"), same("f"), "left").join(n_hit.alias("h"), same("h"), "left")
     items_of = F.coalesce("f.items", F.array().cast("array<string>"))
     return joined.select(
         "d.doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_of).cast("long").alias("n_items"),
@@ -83,9 +101,13 @@ def report(documents: DataFrame, benchmark: DataFrame, n: int = 8, items: int =
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 8, items: int = 2) -> DataFrame:
-    """The documents without those that hold windows of `items` or more benchmark items; all columns stay."""
-    found = hits(documents, benchmark, n)
-    bad = found.groupBy("doc_id", "text_key").agg(F.countDistinct("item_id").alias("k")).where(F.col("k") >= items).select("doc_id", "text_key")
+    """The documents without those that hold windows of `items` or more benchmark items (1: any hit at all); all columns stay.
+
+    Which documents go is written first, so that its size is known: few enough are broadcast, more meet the texts in a shuffle.
+    """
+    found = hits(documents, benchmark, n).select("doc_id", "text_key", "item_id").distinct()
+    bad = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= items).select("doc_id", "text_key")
+    bad = Scratch(documents.sparkSession, "decontaminate").save(bad, "bad")
     return documents.alias("d").join(bad.alias("b"), (F.col("d.doc_id").cast("long").eqNullSafe(F.col("b.doc_id"))) & (F.xxhash64("d.text") == F.col("b.text_key")), "left_anti")
 
 
