@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bytes import chunks, mix64, shingle_sets
-from .common import Scratch, text_rows
+from .common import Scratch, give_back, lean, parts_for, text_rows
 from .graph import Forest, components
 
 HEAVY_KEPT = 200_000
@@ -223,8 +223,8 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
     """(doc_id, size, node) of every row; the components (node, component) that tiles join; and those (node, component) of the components among them that the last links join."""
     spark = documents.sparkSession
     texts = text_rows(documents)
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scan = scratch.save(texts.mapInArrow(_scan(percent, n), "kind int, a long, b long, c long"), "scan")
+    parts = parts_for(documents)
+    scan = scratch.save(texts.mapInArrow(lean(_scan(percent, n)), "kind int, a long, b long, c long"), "scan")
     docs = scan.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("size"), F.col("c").alias("node"))
     often = scan.where("kind = 1").groupBy("a").agg(F.sum("b").alias("k")).where(F.col("k") >= OFTEN)
     top = often.orderBy(F.desc("k"), "a").limit(HEAVY_KEPT).collect()  # bounded; an order, not a filter
@@ -257,7 +257,7 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
                     rows["h"], rows["node"], rows["size"] = first, node, len(s)
                     held.append(rows)
                     count += len(rows)
-                if count > 1_000_000:
+                if count > 500_000:
                     yield flush()
                     held, count = [], 0
         if held:
@@ -279,12 +279,13 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
         pairs, k = np.unique(np.stack([rows["node"], lead], axis=1)[rows["node"] != lead], axis=0, return_counts=True)
         m = len(pairs)
         nothing = np.zeros(len(rows), np.int64)
+        give_back()
         return pa.table({
             "kind": np.concatenate((np.zeros(m, np.int32), np.ones(len(rows), np.int32))), "a": np.concatenate((pairs[:, 0], rows["node"])), "b": np.concatenate((pairs[:, 1], rows["h"].view(np.int64))),
             "c": np.concatenate((k.astype(np.int64), rows["size"].astype(np.int64) if len(rows) else nothing)),
         }, schema=pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())]))
 
-    met = scratch.save(texts.mapInArrow(postings, "p int, v binary").groupBy("p").applyInArrow(meet, "kind int, a long, b long, c long"), "met")
+    met = scratch.save(texts.mapInArrow(lean(postings), "p int, v binary").groupBy("p").applyInArrow(meet, "kind int, a long, b long, c long"), "met")
     led = met.where("kind = 0").groupBy(F.col("a").alias("node"), F.col("b").alias("leader")).agg(F.sum("c").alias("k")).groupBy("node").agg(F.max_by("leader", F.struct("k", "leader")).alias("leader"))
     led = scratch.save(led, "led")
     # every node that shares a posting, with the document that stands for it
@@ -311,7 +312,7 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
                 yield pa.RecordBatch.from_arrays([*(c.take(at) for c in rest.columns), pa.array(bits, pa.binary())], [*rest.schema.names, "bits"])
 
     placed_texts = texts.join(places, "doc_id").select("doc_id", "text", "node", "leader", "tile", "main")
-    nodes = scratch.save(placed_texts.mapInArrow(described, "doc_id long, text string, node long, leader long, tile int, main boolean, bits binary"), "nodes")
+    nodes = scratch.save(placed_texts.mapInArrow(lean(described), "doc_id long, text string, node long, leader long, tile int, main boolean, bits binary"), "nodes")
 
     def tile(t: pa.Table) -> pa.Table:
         t = t.sort_by("doc_id")
@@ -344,6 +345,7 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
                 i, j = np.where(c[i] < c[j], i, j), np.where(c[i] < c[j], j, i)
                 out.append(np.stack([c[i], c[j], -slack, d[i], d[j]], axis=1))
             found = np.unique(np.concatenate(out), axis=0)  # by component pair, likeliest first
+            give_back()
             if neighbours:
                 found = found[np.unique(found[:, :2], axis=0, return_index=True)[1]]
             return pa.table({k: found[:, n] for n, k in enumerate(("x", "y", "loose", "a", "b"))})
@@ -405,9 +407,10 @@ def representatives(documents: DataFrame, percent: int = 80, n: int = 5) -> Data
     stays.  Rows without an id and without words are all kept.
     """
     made = F.lit(1 << 62) + F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit((1 << 62) - 1))  # above all ids
-    rows = documents.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), made))
-    kept = cluster(rows.select(F.col("__id").alias("doc_id"), "text"), percent, n).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    own = "id" + "_" * max(map(len, documents.columns))  # longer than any name that is there
+    rows = documents.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), made))
+    kept = cluster(rows.select(F.col(own).alias("doc_id"), "text"), percent, n).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
     worded = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0d]")
     named, unnamed = rows.where("doc_id IS NOT NULL"), rows.where("doc_id IS NULL")
-    rows = named.unionByName(unnamed.where(~worded)).unionByName(unnamed.where(worded).dropDuplicates(["__id"]))
-    return rows.join(kept, "__id", "left_semi").drop("__id")
+    rows = named.unionByName(unnamed.where(~worded)).unionByName(unnamed.where(worded).dropDuplicates([own]))
+    return rows.join(kept, own, "left_semi").drop(own)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .bytes import chunks, seeded, span_hashes
-from .common import Scratch
+from .common import Scratch, give_back, lean, parts_for
 
 WINDOW, LONGEST = 16, 1024
 #: The shortest stretch of repeated chunks that is taken out, in bytes: some 16 words, what is left of 50 repeated words
@@ -78,7 +78,9 @@ def repeated_spans(ends: np.ndarray, repeats: np.ndarray, shortest: int) -> list
 
 RECORD = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("key", "<i8")])
 #: Entries of a block; a block's repeats are settled in memory (28 bytes each, and the sort).
-BLOCK = 1_500_000
+BLOCK = 600_000
+#: Stands for a null id: after all others, so that copies with an id come first.
+NO_ID = (1 << 63) - 1
 
 
 def ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,8 +94,7 @@ def ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def repeats(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, text_key, repeats (chunk numbers) of each text that holds any."""
-    spark = documents.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(documents)
     names = ["kind", "p", "v"]
 
     def settle(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +131,8 @@ def repeats(documents: DataFrame, scratch: Scratch) -> DataFrame:
         rows = np.frombuffer(b"".join(t.column("v").to_pylist()), dtype=RECORD)
         rows, _, again = ranked(rows)
         rows = rows[again]
+        if len(again) > BLOCK:
+            give_back()
         return pa.table({"doc_id": rows["doc"], "text_key": rows["key"], "pos": rows["pos"]}, schema=pa.schema(PLACES))
 
     def unpack(batches):
@@ -140,8 +143,8 @@ def repeats(documents: DataFrame, scratch: Scratch) -> DataFrame:
                     r = rows[k : k + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(r["doc"]), pa.array(r["key"]), pa.array(r["pos"])], ["doc_id", "text_key", "pos"])
 
-    rows = documents.where("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    cut = scratch.save(rows.mapInArrow(cut_up, "kind int, p int, v binary"), "cut")
+    rows = documents.where("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    cut = scratch.save(rows.mapInArrow(lean(cut_up), "kind int, p int, v binary"), "cut")
     schema = "doc_id long, text_key long, pos int"
     places = cut.where("kind = 0").groupBy("p").applyInArrow(meet, schema).unionByName(cut.where("kind = 1").select("v").mapInArrow(unpack, schema))
     return scratch.save(places.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("repeats")), "repeats")
@@ -152,14 +155,15 @@ PLACES = [("doc_id", pa.int64()), ("text_key", pa.int64()), ("pos", pa.int32())]
 
 
 def deduplicate(documents: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """All columns of documents, text without its repeated stretches, and removed_chars, n_spans."""
+    """All columns of documents, text without its repeated stretches, and removed_chars, n_spans (in place of columns of these names)."""
     scratch = Scratch(documents.sparkSession, "substrings")
     found = repeats(documents, scratch)
     scratch.drop("cut")
-    fields = documents.schema.fields
-    at = documents.columns.index("text")
-    joined = documents.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("__key", F.xxhash64("text")).alias("d")
-    joined = joined.join(found.alias("r"), (F.col("d.__id") == F.col("r.doc_id")) & (F.col("d.__key") == F.col("r.text_key")), "left").select("d.*", "r.repeats").drop("__id", "__key")
+    documents = documents.drop("removed_chars", "n_spans")
+    fields, at = documents.schema.fields, documents.columns.index("text")
+    own = (F.coalesce(F.col("d.doc_id").cast("long"), F.lit(NO_ID)) == F.col("r.doc_id")) & (F.xxhash64("d.text") == F.col("r.text_key"))
+    extra = "repeats" + "_" * max(map(len, documents.columns))  # longer than any name that is there
+    joined = documents.alias("d").join(found.alias("r"), own, "left").select("d.*", F.col("r.repeats").alias(extra))
 
     def taken_out(batches):
         for b in batches:
@@ -181,4 +185,4 @@ def deduplicate(documents: DataFrame, shortest: int = SHORTEST) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*b.schema.names[:-1], "removed_chars", "n_spans"])
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields] + [T.StructField("removed_chars", T.LongType()), T.StructField("n_spans", T.LongType())])
-    return joined.mapInArrow(taken_out, schema)
+    return joined.mapInArrow(lean(taken_out), schema)
