@@ -1,6 +1,10 @@
 """The corpus pipeline: quality classifier, Jaccard join, substring dedup, benchmark decontamination, BPE encoding.
 
 Each stage takes what its predecessor kept and returns a DataFrame, which is written as Parquet and read again.
+
+Defined cases, for all stages: an empty table stays empty; other columns, whatever their names, pass by; rows that repeat are kept or
+dropped alike.  A null text counts as empty: the classifier scores it, it links with nothing, stays null in the substring dedup, is
+not contaminated and has no tokens.  A null doc_id is a row like others; see jaccard.representatives for which copy stays.
 """
 
 from __future__ import annotations
@@ -23,14 +27,19 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def take_out_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that stand in earlier ones; n_chars follows."""
-    out = substrings.deduplicate(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Documents without passages that stand in earlier ones; a whole-number n_chars follows, columns that the operator names itself come back."""
+    marks = [c for c in ("removed_chars", "n_spans") if c in docs.columns]
+    renamed = docs.withColumnsRenamed({c: f"{c} of the input" for c in marks})
+    out = substrings.deduplicate(renamed)
+    if dict(docs.dtypes).get("n_chars") in ("int", "bigint"):
+        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("n_spans") > 0, length).otherwise(F.col("n_chars")))
+    return out.drop("removed_chars", "n_spans").withColumnsRenamed({f"{c} of the input": c for c in marks}).select(docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without windows of two or more benchmark items."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without any window of a benchmark item: one passage is enough to spoil a test."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), items=1)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
