@@ -8,9 +8,9 @@ C = F.col
 
 
 def normal_title(x: Column) -> Column:
-    """Lower case, straight quotes, single blanks, without trailing punctuation and quotes."""
-    x = F.regexp_replace(F.trim(F.translate(F.lower(x), "‘’“”", "''\"\"")), r"\s+", " ")
-    return F.regexp_replace(F.regexp_replace(x, r"[ .,:;!?]+$", ""), "[\"']", "")
+    """Lower case, single blanks, without trailing punctuation and dashes, without any quotes."""
+    x = F.trim(F.regexp_replace(F.translate(F.lower(x), "‘’“”\"", "'''''"), r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(x, r"[:.;,!?\-–— ]+$", ""), "'", "")
 
 
 def file_title(name: Column) -> Column:
@@ -23,11 +23,30 @@ def heading_level(line: Column) -> Column:
     return F.when(line.rlike(r"^#{1,6}\s"), F.length(F.regexp_extract(line, r"^(#+)", 1))).otherwise(0)
 
 
+#: Patterns in the order in which markdown is stripped, and what stands in their place.
+MARKDOWN = (
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?m)^#{1,6}\s+", "\n"),
+    (r"!\[([^\]]*)\]\([^\)]+\)", "$1"),
+    (r"\[([^\]]+)\]\([^\)]+\)", "$1"),
+    (r"`([^`]+)`", "$1"),
+    (r"(?s)```.*?```", ""),
+    (r"(?dm)^[-*_]{3,}$", ""),
+    (r"\n{3,}", "\n\n"),
+    (r"[ \t]+", " "),
+)
+
+
 def plain_markdown(x: Column) -> Column:
-    """Without comments, headings' marks, images, links' targets, code, rules; single blanks."""
-    for pattern, by in ((r"(?s)<!--.*?-->", ""), (r"(?s)```.*?```", ""), (r"(?m)^#{1,6}\s*", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"`([^`]*)`", "$1"), (r"(?m)^\s*[-*_]{3,}\s*$", ""), (r"\s+", " ")):
+    """Text without marks: images by their alternative text, links by theirs; lines stay."""
+    for pattern, by in MARKDOWN:
         x = F.regexp_replace(x, pattern, by)
-    return F.trim(x)
+    return stripped(x)
+
+
+def stripped(x: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(x, r"^\s+|\s+\z", "")
 
 
 def reference_path(name: Column, headers: Column) -> Column:
@@ -45,25 +64,36 @@ def citations(x: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(x, F.lit(r"\[CITE:\s*([^\]]+?)\s*\]"), 1))
 
 
+#: Fixed value: how a text names its references.
+REFERENCES = r"(?i)\[Reference:\s*[\d,\s]+\]|\breference\s+\d+(?:(?:\s*,\s*|\s*(?:and|&)\s*)\d+)*"
+
+
 def reference_numbers(x: Column) -> Column:
-    """Distinct numbers in '[Reference: 1, 2]' and 'reference 1 and 2', sorted."""
-    lists = F.regexp_extract_all(x, F.lit(r"(?i)references?:?\s*(\d+(?:(?:\s*,\s*|\s+and\s+)\d+)*)"), 1)
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(lists, lambda s: F.transform(F.regexp_extract_all(s, F.lit(r"(\d+)"), 1), lambda d: d.cast("int"))))))
+    """Distinct numbers in '[Reference: 1, 2]' and 'reference 1, 2 & 3', sorted."""
+    found = F.regexp_extract_all(x, F.lit(REFERENCES), 0)
+    digits = F.flatten(F.transform(found, lambda s: F.regexp_extract_all(s, F.lit(r"(\d+)"), 1)))
+    return F.array_sort(F.array_distinct(F.transform(digits, lambda d: d.cast("int"))))
 
 
 def paragraphs(x: Column) -> Column:
     return F.size(F.filter(F.split(x, r"\n\s*\n"), lambda p: F.trim(p) != ""))
 
 
-def slide_type(caption: Column) -> Column:
-    """The first kind whose words occur: chart, table, diagram, text."""
-    words = F.split(F.lower(caption), r"[^a-z]+")
-    kinds = {"chart": ["chart", "graph", "plot", "axis"], "table": ["table", "row", "column"], "diagram": ["diagram", "figure", "flowchart", "arrow"], "text": ["text", "title", "bullet"]}
-    out = None
-    for kind, keys in kinds.items():
+#: Words that tell the kind of a slide, the first kind that has one wins.
+SLIDE_WORDS = {
+    "chart": ["figure", "chart", "graph", "plot", "histogram", "bar", "pie", "line"],
+    "table": ["table", "row", "column", "cell", "grid"],
+    "diagram": ["diagram", "algorithm", "architecture", "flowchart", "uml", "schema"],
+}
+
+
+def slide_type(text: Column) -> Column:
+    """chart, table or diagram by words between white space; other texts are text, blank ones unknown."""
+    words, out = F.split(F.lower(text), r"\s+"), None
+    for kind, keys in SLIDE_WORDS.items():
         test = F.arrays_overlap(words, F.array(*map(F.lit, keys)))
         out = F.when(test, kind) if out is None else out.when(test, kind)
-    return out.otherwise("unknown")
+    return out.when(text.rlike(r"\S"), "text").otherwise("unknown")
 
 
 def sentences(x: Column) -> Column:

@@ -72,3 +72,13 @@ def proportional(rows: DataFrame, by: str, key: str, n: int, least: int = 5, see
     quota = counts.crossJoin(F.broadcast(counts.agg(F.sum("__n").alias("__all")))).select(by, F.greatest(F.lit(least), F.floor(F.lit(float(n)) * F.col("__n") / F.col("__all"))).alias("__q"))
     w = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
     return rows.withColumn("__r", F.row_number().over(w)).join(quota, by).where("__r <= __q").drop("__r", "__q")
+
+
+def near_misses(retrieved: DataFrame, gold_pages: Column, same_lecture: Column) -> DataFrame:
+    """near, misses, near_miss_rate: queries without a gold page among their results (query_id, page), and those of them with a
+    page of the right lecture next to a gold one."""
+    hit = same_lecture & F.array_contains(gold_pages, F.col("page"))
+    near = same_lecture & F.exists(gold_pages, lambda g: F.abs(F.col("page") - g) <= 1)
+    missed = retrieved.select("query_id", hit.alias("hit"), near.alias("near")).groupBy("query_id").agg(F.bool_or("hit").alias("hit"), F.bool_or("near").alias("near")).where("NOT hit")
+    out = missed.agg(F.count(F.when(F.col("near"), 1)).alias("near"), F.count(F.lit(1)).alias("misses"))
+    return out.withColumn("near_miss_rate", F.round(F.coalesce(F.try_divide("near", "misses"), F.lit(0.0)), 4))

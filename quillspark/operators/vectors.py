@@ -54,7 +54,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "dot", di
 def two_stage(files: DataFrame, chunks: DataFrame, queries: DataFrame, files_k: int = 7, chunks_k: int = 3, above: float = 0.32) -> DataFrame:
     """Best files (id, v) first, then the best chunks (id, file_id, v) of each; the threshold holds after the cut within a file."""
     chosen = topk(files, queries, files_k).select("query_id", F.col("id").alias("file_id"))
-    pairs = chunks.join(F.broadcast(chosen.join(queries, "query_id")), "file_id")  # files_k rows a query
+    pairs = chunks.join(chosen.join(queries, "query_id"), "file_id")  # files_k rows a query
     ranked = best(pairs.select("query_id", "file_id", "id", F.round(dot("v", "q"), 6).alias("score")), ["query_id", "file_id"], [F.desc("score"), F.asc("id")], chunks_k, "file_rank")
     return ranked.where(F.col("score") > above)
 
@@ -78,10 +78,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     words = docs.select("id", tokens("text").alias("w"))
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
     size = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("w")).alias("mean_length"))
-    asked = F.broadcast(terms.select("term").distinct())  # words of the stated queries
-    tf = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).join(asked, "term", "left_semi").groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # small sides are broadcast by Spark's own check of their size
+    tf = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = tf.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").crossJoin(F.broadcast(size))
+    hits = tf.join(df, "term").join(terms, "term").crossJoin(F.broadcast(size))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("score"))
@@ -89,7 +89,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
 
 def tf_overlap(docs: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
     """Share of a document's words that are words of the query: query_id, id, score; empty documents score 0."""
-    pairs = docs.select("id", tokens("text").alias("w")).crossJoin(F.broadcast(queries.select("query_id", F.array_distinct(tokens("query")).alias("t"))))
+    pairs = docs.select("id", tokens("text").alias("w")).crossJoin(queries.select("query_id", F.array_distinct(tokens("query")).alias("t")))
     share = F.when(F.size("w") > 0, F.size(F.filter("w", lambda x: F.array_contains("t", x))) / F.size("w")).otherwise(0.0)
     return pairs.select("query_id", "id", F.round(share, digits).alias("score"))
 
@@ -102,11 +102,47 @@ def rrf(first: DataFrame, second: DataFrame, k: int = 60, weights: tuple[float,
 
     a, b = ranked(first, "ra"), ranked(second, "rb")
     last = a.groupBy("query_id").agg(F.max("ra").alias("na")).join(b.groupBy("query_id").agg(F.max("rb").alias("nb")), "query_id", "full")
-    both = a.join(b, ["query_id", "id"], "full").join(F.broadcast(last), "query_id")
+    both = a.join(b, ["query_id", "id"], "full").join(last, "query_id")
     ra, rb = F.coalesce("ra", F.coalesce("na", F.lit(0)) + 1), F.coalesce("rb", F.coalesce("nb", F.lit(0)) + 1)
     return both.select("query_id", "id", F.round(weights[0] / (k + ra) + weights[1] / (k + rb), digits).alias("score"))
 
 
+def full_ranks(scored: DataFrame, name: str, buckets: int = 64) -> DataFrame:
+    """The rank of every id in each query's whole list (score first, then id), without one task for a whole list.
+
+    Rows fall into buckets of the score's range, those of the least score into buckets of ids; a rank is the number of rows in the
+    buckets before it and the place in its own.
+    """
+    ends = scored.groupBy("query_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.min("id").alias("first"), F.max("id").alias("last"))
+    rows = scored.join(ends, "query_id")
+    part = lambda x, lo, hi: F.when(hi > lo, F.floor((x - lo) / (hi - lo) * (buckets - 1))).otherwise(0).cast("int")
+    lowest = F.col("score") == F.col("lo")
+    rows = rows.withColumn("__b", F.when(lowest, buckets + part(F.col("id"), F.col("first"), F.col("last"))).otherwise(buckets - 1 - part(F.col("score"), F.col("lo"), F.col("hi"))))
+    counts = rows.groupBy("query_id", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__n", F.coalesce(F.sum("__n").over(Window.partitionBy("query_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 2 * buckets rows a query
+    place = F.row_number().over(Window.partitionBy("query_id", "__b").orderBy(F.desc("score"), F.asc("id")))
+    return rows.join(before, ["query_id", "__b"]).withColumn(name, (F.col("__n") + place).cast("long")).drop("lo", "hi", "first", "last", "__b", "__n")
+
+
+def hybrid(docs: DataFrame, queries: DataFrame, k: int, weights: tuple[float, float] = (1.0, 1.0), rank_k: int = 60, digits: int = 8) -> DataFrame:
+    """Dense and BM25 ranks of docs (id, v, text) over one candidate list for each query (query_id, q, query), fused: the k best.
+
+    Returns query_id, id, score, rank, dense_rank, bm25_rank.  A document without any word of the query has BM25 score 0.
+    """
+    dense = scored(docs.select("id", "v"), queries.select("query_id", "q")).withColumnRenamed("score", "dense")
+    both = dense.join(bm25(docs.select("id", "text"), queries.select("query_id", "query")), ["query_id", "id"], "left").select("query_id", "id", "dense", F.coalesce("score", F.lit(0.0)).alias("bm25"))
+    a = full_ranks(both.select("query_id", "id", F.col("dense").alias("score")), "dense_rank").drop("score")
+    b = full_ranks(both.select("query_id", "id", F.col("bm25").alias("score")), "bm25_rank").drop("score")
+    fused = a.join(b, ["query_id", "id"]).withColumn("score", F.round(weights[0] / (rank_k + F.col("dense_rank")) + weights[1] / (rank_k + F.col("bm25_rank")), digits))
+    return best(fused, ["query_id"], [F.desc("score"), F.asc("id")], k).select("query_id", "id", "score", "rank", "dense_rank", "bm25_rank")
+
+
+def overlap_score(query: str | Column, text: str | Column) -> Column:
+    """Share of a query's distinct words that a text has: the scorer where no model is at hand."""
+    q = F.array_distinct(tokens(query))
+    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(text))) / F.size(q)).otherwise(0.0)
+
+
 def rerank(candidates: DataFrame, scorer: Column, k: int, pool: int = 30) -> DataFrame:
     """Keeps a pool by the first score, replaces the score by the scorer's, and takes the k best."""
     kept = best(candidates, ["query_id"], [F.desc("score"), F.asc("id")], max(k, pool), "first_rank")

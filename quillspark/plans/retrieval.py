@@ -9,7 +9,7 @@ from ..sources.tables import table
 from .catalogue import query
 
 DOT = "list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
-PAIRS = f"s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, round({DOT}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 8 AND e.embedding IS NOT NULL)"
+PAIRS = f"s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, round({DOT}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.embedding IS NOT NULL)"
 RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)"
 WORDS = "list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda x: x <> '')"
 
@@ -18,9 +18,9 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
-def _queries(spark, d, n=8):
-    """The query set: the first n vectors."""
-    return table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+def _queries(spark, d):
+    """The stated query set: every vector whose id is divisible by 20."""
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def _pages(spark, d):
@@ -37,19 +37,19 @@ def vec_topk_dot(spark, d):
     return V.topk(_vectors(spark, d).select("id", "v"), _queries(spark, d), 5)
 
 
-@query(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({DOT} / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 8) SELECT query_id, id, score, CAST({RANK} AS INTEGER) AS rank FROM s QUALIFY {RANK} <= 10")
+@query(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({DOT} / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) SELECT query_id, id, score, CAST({RANK} AS INTEGER) AS rank FROM s QUALIFY {RANK} <= 10")
 def vec_topk_normalised(spark, d):
     return V.topk(_vectors(spark, d).select("id", "v"), _queries(spark, d), 10, "normalised")
 
 
-@query(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 8) SELECT query_id, id, score, CAST({RANK} AS INTEGER) AS rank FROM s QUALIFY {RANK} <= 10")
+@query(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) SELECT query_id, id, score, CAST({RANK} AS INTEGER) AS rank FROM s QUALIFY {RANK} <= 10")
 def vec_topk_cosine(spark, d):
     return V.topk(_vectors(spark, d).select("id", "v"), _queries(spark, d), 10, "cosine")
 
 
-@query(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({DOT}, 6) AS score FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE q.vec_id < 8) SELECT query_id, id, score, CAST({RANK} AS INTEGER) AS rank FROM s QUALIFY {RANK} <= 5")
+@query(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({DOT}, 6) AS score FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE q.vec_id % 20 = 0) SELECT query_id, id, score, CAST({RANK} AS INTEGER) AS rank FROM s QUALIFY {RANK} <= 5")
 def vec_topk_scoped(spark, d):
-    q = table(spark, d, "embeddings").where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    q = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
     return V.topk(_vectors(spark, d), q, 5, scope=["label"])
 
 
@@ -90,10 +90,10 @@ def vec_modal_dim(spark, d):
 
 def _bm25_inputs(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return docs, table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return docs, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-BM25 = f"""w AS (SELECT doc_id AS id, {WORDS.format('text')} AS w FROM documents), t AS (SELECT item_id AS query_id, unnest(list_distinct({WORDS.format('text')})) AS term FROM benchmark WHERE item_id < 5),
+BM25 = f"""w AS (SELECT doc_id AS id, {WORDS.format('text')} AS w FROM documents), t AS (SELECT item_id AS query_id, unnest(list_distinct({WORDS.format('text')})) AS term FROM benchmark),
 z AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), u AS (SELECT id, len(w) AS length, unnest(w) AS term FROM w), tf AS (SELECT id, length, term, count(*) AS tf FROM u WHERE term IN (SELECT term FROM t) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 b AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) AS score FROM tf JOIN df USING (term) JOIN t USING (term), z GROUP BY ALL)"""
@@ -104,36 +104,56 @@ def bm25_okapi(spark, d):
     return V.bm25(*_bm25_inputs(spark, d))
 
 
-@query(f"""WITH w AS (SELECT doc_id AS id, {WORDS.format('text')} AS w FROM documents), q AS (SELECT item_id AS query_id, list_distinct({WORDS.format('text')}) AS t FROM benchmark WHERE item_id < 5)
+@query(f"""WITH w AS (SELECT doc_id AS id, {WORDS.format('text')} AS w FROM documents), q AS (SELECT item_id AS query_id, list_distinct({WORDS.format('text')}) AS t FROM benchmark)
 SELECT query_id, id, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains(t, x))) / len(w) ELSE 0.0 END, 6) AS score FROM w, q""")
 def tf_overlap(spark, d):
     return V.tf_overlap(*_bm25_inputs(spark, d))
 
 
-@query(f"""WITH {PAIRS}, b AS (SELECT query_id, id, round(score * score, 6) AS score FROM s WHERE id % 3 = 0), r1 AS (SELECT query_id, id, {RANK} AS ra FROM s WHERE id % 2 = 0), r2 AS (SELECT query_id, id, {RANK} AS rb FROM b),
-n AS (SELECT query_id, max(ra) AS na, (SELECT max(rb) FROM r2 x WHERE x.query_id = r1.query_id) AS nb FROM r1 GROUP BY query_id)
-SELECT query_id, id, round(1.0 / (60 + coalesce(ra, na + 1)) + 1.0 / (60 + coalesce(rb, nb + 1)), 6) AS score FROM r1 FULL JOIN r2 USING (query_id, id) JOIN n USING (query_id)""")
+# queries with a vector and a text: a benchmark item for each vector whose id is divisible by 20
+HYBRID = f"""n AS (SELECT count(*) AS n FROM benchmark), q AS (SELECT e.vec_id AS query_id, e.embedding AS q, b.text AS query FROM embeddings e, n JOIN benchmark b ON b.item_id = (e.vec_id // 20) % n.n WHERE e.vec_id % 20 = 0),
+d AS (SELECT doc_id AS id, embedding AS v, text, {WORDS.format('text')} AS w FROM embeddings JOIN documents ON doc_id = vec_id),
+t AS (SELECT query_id, unnest(list_distinct({WORDS.format('query')})) AS term FROM q), z AS (SELECT count(*) AS nd, avg(len(w)) AS mean FROM d), u AS (SELECT id, len(w) AS length, unnest(w) AS term FROM d),
+tf AS (SELECT id, length, term, count(*) AS tf FROM u WHERE term IN (SELECT term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+l AS (SELECT query_id, id, round(sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) AS score FROM tf JOIN df USING (term) JOIN t USING (term), z GROUP BY ALL),
+s AS (SELECT query_id, id, query, text, round(list_dot_product(CAST(v AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS dense, coalesce(l.score, 0) AS lexical FROM d CROSS JOIN q LEFT JOIN l USING (query_id, id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, id) AS dense_rank, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, id) AS bm25_rank FROM s),
+f AS (SELECT *, round(1.0 / (60 + dense_rank) + 1.0 / (60 + bm25_rank), 8) AS score FROM r)"""
+
+
+def _hybrid_inputs(spark, d):
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("query"))
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    q = _queries(spark, d).crossJoin(F.broadcast(n))  # one row
+    q = q.join(items, F.col("item") == F.expr("(query_id div 20) % n")).select("query_id", "q", "query")
+    docs = _vectors(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id").select("id", "v", "text")
+    return docs, q
+
+
+@query(f"WITH {HYBRID} SELECT query_id, id, score, CAST({RANK} AS INTEGER) AS rank, dense_rank, bm25_rank FROM f QUALIFY {RANK} <= 7")
 def rrf_fusion(spark, d):
-    s = V.scored(_vectors(spark, d), _queries(spark, d))
-    return V.rrf(s.where("id % 2 = 0"), s.where("id % 3 = 0").withColumn("score", F.round(F.col("score") * F.col("score"), 6)))
+    return V.hybrid(*_hybrid_inputs(spark, d), 7)
 
 
-@query(f"""WITH {PAIRS}, p AS (SELECT query_id, id, score, {RANK} AS first_rank FROM s QUALIFY {RANK} <= 30), x AS (SELECT query_id, id, CAST(id % 97 AS DOUBLE) AS score, CAST(first_rank AS INTEGER) AS first_rank FROM p)
+@query(f"""WITH {HYBRID}, p AS (SELECT query_id, id, query, text, {RANK} AS first_rank FROM f QUALIFY {RANK} <= 30),
+x AS (SELECT query_id, id, CAST(first_rank AS INTEGER) AS first_rank, round(len(list_intersect(list_distinct({WORDS.format('query')}), {WORDS.format('text')})) / len(list_distinct({WORDS.format('query')})), 6) AS score FROM p)
 SELECT query_id, id, score, first_rank, CAST({RANK} AS INTEGER) AS rank FROM x QUALIFY {RANK} <= 5""")
 def vec_rerank_pool(spark, d):
-    return V.rerank(V.scored(_vectors(spark, d), _queries(spark, d)), (F.col("id") % 97).cast("double"), 5)
+    docs, q = _hybrid_inputs(spark, d)
+    pool = V.hybrid(docs, q, 30).select("query_id", "id", "score").join(docs.select("id", "text"), "id").join(q.select("query_id", "query"), "query_id")
+    return V.rerank(pool, F.round(V.overlap_score("query", "text"), 6), 5).select("query_id", "id", "score", "first_rank", "rank")
 
 
-# ---- evaluation: queries are vectors 0 .. 39, gold is another vector of the query's label
+# ---- evaluation: queries are the vectors with ids divisible by 20, gold is another vector of the query's label
 
-RETRIEVED = f"""s AS (SELECT q.vec_id AS query_id, q.label AS gold, e.vec_id AS id, e.label, round({DOT}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 40 AND e.vec_id <> q.vec_id),
+RETRIEVED = f"""s AS (SELECT q.vec_id AS query_id, q.label AS gold, e.vec_id AS id, e.label, round({DOT}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id),
 r AS (SELECT query_id, gold, id, label, score, {RANK} AS rank FROM s QUALIFY {RANK} <= 10), h AS (SELECT query_id, gold, min(CASE WHEN label = gold THEN rank END) AS first FROM r GROUP BY ALL)"""
 
 
 def _retrieved(spark, d):
     v = _vectors(spark, d)
-    q = table(spark, d, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("gold"))
-    pairs = v.crossJoin(F.broadcast(q)).where("id <> query_id").select("query_id", "gold", "id", "label", F.round(V.dot("v", "q"), 6).alias("score"))  # 40 queries
+    q = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("gold"))
+    pairs = v.crossJoin(q).where("id <> query_id").select("query_id", "gold", "id", "label", F.round(V.dot("v", "q"), 6).alias("score"))
     return V.best(pairs, ["query_id"], [F.desc("score"), F.asc("id")], 10)
 
 
@@ -149,7 +169,7 @@ def recall_by_group(spark, d):
 
 
 @query(f"""WITH {RETRIEVED}, x AS (SELECT query_id, first, d.text AS top_text, CASE WHEN query_id % 2 = 0 THEN d.text ELSE 'no such answer' END AS said FROM h JOIN r USING (query_id, gold) JOIN documents d ON d.doc_id = r.id WHERE r.rank = 1),
-c AS (SELECT CASE WHEN first IS NULL THEN 'retrieval_miss' WHEN trim(top_text) <> '' AND length(trim(top_text)) < 80 THEN 'ocr_loss' WHEN trim(top_text) <> '' THEN 'vlm_noise' ELSE 'answer_miss' END AS category FROM x WHERE NOT (first IS NOT NULL AND contains(lower(trim(said)), lower(trim(substr(top_text, 1, 20))))))
+c AS (SELECT CASE WHEN first IS NULL THEN 'retrieval_miss' WHEN trim(top_text) <> '' AND length(trim(top_text)) < 80 THEN 'ocr_loss' WHEN trim(top_text) <> '' THEN 'vlm_noise' ELSE 'answer_miss' END AS category FROM x WHERE NOT (first IS NOT NULL AND contains(lower(trim(said)), lower(trim(top_text)))))
 SELECT category, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM c GROUP BY category""")
 def error_taxonomy(spark, d):
     got = _retrieved(spark, d)
@@ -157,14 +177,16 @@ def error_taxonomy(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("top_text"))
     x = first.join(got.where("rank = 1").select("query_id", "id"), "query_id").join(docs, "id")
     x = x.withColumn("said", F.when(F.col("query_id") % 2 == 0, F.col("top_text")).otherwise("no such answer"))
-    wrong = x.where(~(F.col("first").isNotNull() & E.contains_answer(F.col("said"), F.substring("top_text", 1, 20))))
+    wrong = x.where(~(F.col("first").isNotNull() & E.contains_answer(F.col("said"), F.col("top_text"))))
     return E.shares(wrong.select(E.classify_error(F.col("first").isNotNull(), F.col("top_text")).alias("category")), "category")
 
 
-@query("SELECT round(avg(CASE WHEN trim(b.text) = '' OR contains(lower(trim(d.text)), lower(trim(substr(b.text, 1, 12)))) THEN 1.0 ELSE 0 END), 6) AS rate, count(*) AS n FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
+@query("SELECT round(avg(CASE WHEN trim(b.text) = '' OR contains(lower(trim(d.text)), lower(trim(b.text))) THEN 1.0 ELSE 0 END), 6) AS rate, count(*) AS n FROM documents d, (SELECT count(*) AS n FROM benchmark) z JOIN benchmark b ON b.item_id = d.doc_id % z.n")
 def contains_answer_rate(spark, d):
-    pairs = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % 40).join(F.broadcast(table(spark, d, "benchmark").withColumnRenamed("text", "gold")), "item_id")
-    return pairs.agg(F.round(F.avg(E.contains_answer(F.col("text"), F.substring("gold", 1, 12)).cast("double")), 6).alias("rate"), F.count(F.lit(1)).alias("n"))
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("gold"))
+    docs = table(spark, d, "documents").crossJoin(F.broadcast(items.agg(F.count(F.lit(1)).alias("n_items"))))  # one row
+    pairs = docs.withColumn("item_id", F.col("doc_id") % F.col("n_items")).join(items, "item_id")
+    return pairs.agg(F.round(F.avg(E.contains_answer(F.col("text"), F.col("gold")).cast("double")), 6).alias("rate"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {RETRIEVED} SELECT round(avg(CASE WHEN rank = 1 AND label = gold THEN 1.0 WHEN rank = 1 THEN 0 END), 4) AS top1, (SELECT round(avg(CASE WHEN first IS NULL THEN 0 ELSE 1.0 END), 4) FROM h) AS topk FROM r")
@@ -179,11 +201,12 @@ def top_attractors(spark, d):
     return E.attractors(_retrieved(spark, d).where("rank = 1"), ["id", "label"], 5)
 
 
-@query(f"WITH {RETRIEVED} SELECT round(avg(CASE WHEN first IS NOT NULL THEN 0.0 WHEN near THEN 1.0 ELSE 0 END), 4) AS near_miss_rate FROM h JOIN (SELECT query_id, bool_or(abs(label - gold) <= 1) AS near FROM r GROUP BY query_id) USING (query_id)")
+# pages: a lecture is a label, a page number the id modulo 50; gold is the page after the query's own
+@query(f"""WITH {RETRIEVED}, g AS (SELECT query_id, label = gold AND id % 50 = (query_id + 1) % 50 AS hit, label = gold AND abs(id % 50 - (query_id + 1) % 50) <= 1 AS near FROM r),
+m AS (SELECT query_id, bool_or(near) AS near FROM g GROUP BY query_id HAVING NOT bool_or(hit)) SELECT count(*) FILTER (near) AS near, count(*) AS misses, round(coalesce(count(*) FILTER (near) / nullif(count(*), 0), 0), 4) AS near_miss_rate FROM m""")
 def near_miss_rate(spark, d):
-    r = _retrieved(spark, d)
-    q = r.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("gold"), F.col("rank"))).alias("first"), F.bool_or(F.abs(F.col("label") - F.col("gold")) <= 1).alias("near"))
-    return q.agg(F.round(F.avg((F.col("first").isNull() & F.col("near")).cast("double")), 4).alias("near_miss_rate"))
+    r = _retrieved(spark, d).withColumn("page", (F.col("id") % 50).cast("int"))
+    return E.near_misses(r, F.array(((F.col("query_id") + 1) % 50).cast("int")), F.col("label") == F.col("gold"))
 
 
 @query(f"WITH {RETRIEVED} SELECT query_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS ids, string_agg(CASE WHEN label = gold THEN '1' ELSE '0' END, '' ORDER BY rank) AS hits FROM r GROUP BY query_id")

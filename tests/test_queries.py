@@ -84,7 +84,15 @@ def test_text_functions(spark):
     one = spark.range(1)
     get = lambda c: one.select(c.alias("x")).first().x
     assert get(T.normal_title(F.lit("  The “Big”  Title!. "))) == "the big title"
-    assert get(T.reference_numbers(F.lit("[Reference: 3, 1] references 2 and 3"))) == [1, 2, 3]
+    assert get(T.normal_title(F.lit("Don’t “quote” — this –"))) == "dont quote — this"
+    assert get(T.reference_numbers(F.lit("[Reference: 3, 1] references 2 and Reference 7 & 8, 9 and 10"))) == [1, 3, 7, 8, 9, 10]  # a plural names none
+    assert get(T.plain_markdown(F.lit("# A\n![alt](x.png)  [t](u) `c`\n---\n\n\n\nend"))) == "A\nalt t c\n\nend"
+    assert [get(T.slide_type(F.lit(x))) for x in ("A Figure here", "one ROW", "an algorithm", "charts, tables", " \n")] == ["chart", "table", "diagram", "text", "unknown"]
+    assert get(U.normalised(F.lit("a/b/"))) == "a/b" and get(U.normalised(F.lit("https://Ex.com/"))) == "https://Ex.com"
+    assert get(U.joined(F.lit("http://x.org/a/b"), F.array(*map(F.lit, ["#s", "MAILTO:x", "c", "/d", " "])))) == ["http://x.org/a/b", "http://x.org/a/c", "http://x.org/d"]
+    assert get(U.file_name(F.lit("http://x.org/a%20b/c+d%20e.md/?q"))) == "c+d_e.md" and get(U.file_name(F.lit("http://x.org/"))) == "root"
+    assert len(get(U.file_name(F.lit("http://x.org/" + "n" * 400 + ".html")))) == 220
+    assert get(U.video_host(F.lit("https://youtu.be/x"))) and get(U.unviewable_list(F.lit("https://www.youtube.com/watch?v=1&list=RDx"))) and not get(U.unviewable_list(F.lit("https://www.youtube.com/watch?list=PL1")))
     assert get(T.citations(F.lit("[CITE: a] [CITE: a] [CITE:b]"))) == ["a", "b"]
     assert get(U.normalised(F.lit("HTTP://Ex.com:80/a/b/?q#f"))) == "http://ex.com/a/b?q#f"
     assert get(T.final_channel(F.lit("<think>x</think>y"))) == "y"
