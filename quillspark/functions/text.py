@@ -98,7 +98,7 @@ def slide_type(text: Column) -> Column:
 
 def sentences(x: Column) -> Column:
     """Cut after . ! ? where white space and a capital follow."""
-    return F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+(?=\p{Lu})"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+(?=\p{Lu})"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def shortened(x: Column, n: int = 180) -> Column:

@@ -230,3 +230,32 @@ def stratified_sample_sizes(spark, d):
 @query("WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source), t AS (SELECT sum(n) AS total FROM s) SELECT source, CAST(least(n, greatest(5, CAST(floor(200.0 * n / total) AS BIGINT))) AS BIGINT) AS n FROM s, t")
 def proportional_sample_sizes(spark, d):
     return E.proportional(table(spark, d, "documents"), "source", "doc_id", 200, least=5).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {RETRIEVED} SELECT r.query_id, r.id, regexp_replace(regexp_replace(substr(d.text, 1, 240), '\\n', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS snippet, d.source FROM r JOIN documents d ON d.doc_id = r.id WHERE rank = 1")
+def topk_with_payload(spark, d):
+    top = _retrieved(spark, d).where("rank = 1").select("query_id", "id")
+    snippet = F.regexp_replace(F.regexp_replace(F.substring("text", 1, 240), "\n", " "), r"^\s+|\s+\z", "")
+    return top.join(table(spark, d, "documents"), F.col("doc_id") == F.col("id")).select("query_id", "id", snippet.alias("snippet"), "source")
+
+
+@query(f"""WITH {RETRIEVED} SELECT query_id, first, CASE WHEN first IS NULL THEN 'retrieval_miss' WHEN trim(d.text) <> '' AND length(trim(d.text)) < 80 THEN 'ocr_loss' WHEN trim(d.text) <> '' THEN 'vlm_noise' ELSE 'answer_miss' END AS category
+FROM h JOIN r USING (query_id, gold) JOIN documents d ON d.doc_id = r.id WHERE r.rank = 1 AND (first IS NULL OR first > 3)""")
+def error_records(spark, d):
+    got = _retrieved(spark, d)
+    first = E.first_hits(got, ["query_id", "gold"], F.col("label") == F.col("gold"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    x = first.join(got.where("rank = 1").select("query_id", "id"), "query_id").join(docs, "id").where("first IS NULL OR first > 3")
+    return x.select("query_id", "first", E.classify_error(F.col("first").isNotNull(), F.col("text")).alias("category"))
+
+
+@query(f"WITH {RETRIEVED} SELECT 'v' || CAST(query_id // 20 % 3 + 1 AS VARCHAR) AS variant, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 4) AS recall, round(avg(CASE WHEN first <= 5 THEN 1.0 / first ELSE 0 END), 4) AS mrr, count(*) AS n FROM h GROUP BY 1")
+def evaluate_variants(spark, d):
+    hits = E.first_hits(_retrieved(spark, d), ["query_id", "gold"], F.col("label") == F.col("gold"))
+    return E.metrics(hits.withColumn("variant", F.concat(F.lit("v"), F.expr("query_id div 20 % 3 + 1").cast("string"))), 5, ["variant"])
+
+
+@query(f"WITH {RETRIEVED} SELECT query_id, bool_or(rank <= 3 AND list_contains([gold], label)) AS hit FROM r GROUP BY query_id")
+def hits_at_three(spark, d):
+    lists = _retrieved(spark, d).groupBy("query_id", "gold").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"] + 1).alias("pages"))
+    return lists.select("query_id", E.hits_at_k(F.col("pages"), F.array("gold"), 3).alias("hit"))  # page numbers count from 1, gold pages from 0
