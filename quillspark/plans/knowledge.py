@@ -222,7 +222,8 @@ def upload_validation(spark, d):
     """Held against a plain fold in the tests: which files count depends on those accepted before."""
     name = F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 7 == 0, ".exe").otherwise(".md"))
     rows = table(spark, d, "part").select((F.col("p_partkey") % 9).alias("batch"), F.col("p_partkey").alias("pos"), name.alias("name"), (F.col("p_size") * 3_000_000).cast("double").alias("size"))
-    return rows.groupBy("batch").applyInPandas(lambda pdf: P.folded(pdf), "batch long, pos long, fault string")
+    fold = P.folded  # the function alone travels, not its module
+    return rows.groupBy("batch").applyInPandas(lambda pdf: fold(pdf), "batch long, pos long, fault string")
 
 
 # ---- joins and lookups
@@ -248,14 +249,15 @@ def cited_pages(spark, d):
 TITLES = "list_filter(regexp_split_to_array(trim(lower(regexp_replace({}, '[!-/:-@\\[-`{{-~]', '', 'g'))), '\\s+'), lambda w: w <> '' AND w NOT IN ('options', 'section', 'part', 'chapter'))"
 
 
-@query(f"""WITH a AS (SELECT p_partkey, {TITLES.format("p_name")} AS w FROM part), b AS (SELECT s_suppkey, {TITLES.format("'**Section** ' || n_name || ' ' || s_name")} AS w FROM supplier JOIN nation ON n_nationkey = s_nationkey)
-SELECT p_partkey, s_suppkey FROM a, b WHERE contains(array_to_string(a.w, ' '), array_to_string(b.w, ' ')) OR contains(array_to_string(b.w, ' '), array_to_string(a.w, ' ')) OR len(list_intersect(a.w, b.w)) / least(len(list_distinct(a.w)), len(list_distinct(b.w))) >= 0.7""")
+@query(f"""WITH a AS (SELECT c_custkey, {TITLES.format("'The **' || c_mktsegment || '** of ' || n_name")} AS w FROM customer JOIN nation ON n_nationkey = c_nationkey), b AS (SELECT n_nationkey, {TITLES.format("'Options: ' || n_name || ' of'")} AS w FROM nation)
+SELECT c_custkey, n_nationkey FROM a, b WHERE contains(array_to_string(a.w, ' '), array_to_string(b.w, ' ')) OR contains(array_to_string(b.w, ' '), array_to_string(a.w, ' ')) OR len(list_intersect(a.w, b.w)) / least(len(list_distinct(a.w)), len(list_distinct(b.w))) >= 0.7""")
 def fuzzy_titles(spark, d):
-    a = table(spark, d, "part").select("p_partkey", R.title_words(F.col("p_name")).alias("a"))
-    b = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", R.title_words(F.concat(F.lit("**Section** "), "n_name", F.lit(" "), "s_name")).alias("b"))
-    # titles of equal texts, or that share a word: every match has a common word, so words are the join's key
-    words = a.select("p_partkey", "a", F.explode(F.array_distinct("a")).alias("w")).join(b.select("s_suppkey", "b", F.explode(F.array_distinct("b")).alias("w")), "w")
-    return words.where(R.titles_match(F.col("a"), F.col("b"))).select("p_partkey", "s_suppkey").distinct()
+    nation = table(spark, d, "nation")
+    a = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", R.title_words(F.concat(F.lit("The **"), "c_mktsegment", F.lit("** of "), "n_name")).alias("a"))
+    b = nation.select("n_nationkey", R.title_words(F.concat(F.lit("Options: "), "n_name", F.lit(" of"))).alias("b"))
+    # every match of whole words has a word in common, so words are the join's key
+    words = a.select("c_custkey", "a", F.explode(F.array_distinct("a")).alias("w")).join(b.select("n_nationkey", "b", F.explode(F.array_distinct("b")).alias("w")), "w")
+    return words.where(R.titles_match(F.col("a"), F.col("b"))).select("c_custkey", "n_nationkey").distinct()
 
 
 @query("SELECT DISTINCT page_id FROM (SELECT doc_id AS page_id FROM documents UNION ALL SELECT page_id FROM pages)")
@@ -330,9 +332,11 @@ def heading_levels(spark, d):
     """Headings of level 1, then of level 4 all along: the run moves up to level 2."""
     h = chunks(spark, d).select("file_uuid", "chunk_index", F.when(F.col("chunk_index") == 1, 1).otherwise(4).alias("level"))
 
+    repaired = S.repaired_levels  # the function alone travels, not its module
+
     def repair(pdf):
         pdf = pdf.sort_values("chunk_index")
-        return pdf.assign(level=S.repaired_levels(pdf["level"].tolist()))
+        return pdf.assign(level=repaired(pdf["level"].tolist()))
 
     return h.groupBy("file_uuid").applyInPandas(repair, "file_uuid long, chunk_index long, level int")
 
