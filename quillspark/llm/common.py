@@ -78,6 +78,14 @@ def lean(rows):
     return run
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files of finished jobs now: it does so once their plans are collected in the driver."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables written below the shared folder.  Writing one cuts lineage, and its rows survive lost executors."""
 

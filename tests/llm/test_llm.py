@@ -66,7 +66,7 @@ def test_katz_normalised(spark):
     texts = [" ".join(rng.choice(vocabulary, p=np.arange(8, 0, -1) / 36, size=9)) for _ in range(40)]
     asks = [f"a {w}" for w in [*vocabulary, "unseen"]] + ["a"]
     df = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)] + [(1000 + i, t, True) for i, t in enumerate(asks)], "doc_id long, text string, h boolean")
-    got = {r.doc_id: r.score for r in katz.score(df, F.col("h")).collect()}
+    got = {r.doc_id: r.score for r in katz.score(df, F.col("h"), order=2).collect()}
     one = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)] + [(1, "a", True)], "doc_id long, text string, h boolean")
     # P(a | start) and P(end | w) are divided out with the texts "w" scored alone
     end = {w: katz_end(texts, w) for w in [*vocabulary, "unseen"]}
@@ -98,6 +98,69 @@ def katz_end(texts: list[str], word: str) -> float:
     return (1 - given / wide) / (1 - sum(map(p, seen))) * p("</s>")
 
 
+def plain_katz(texts: list[str], order: int):
+    """P(word | context) of a plain recursive Katz model in dictionaries, and its words."""
+    from collections import Counter
+
+    grams = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        w = ["<s>"] * (order - 1) + t.split() + ["</s>"]
+        for i in range(order - 1, len(w)):
+            for n in range(1, order + 1):
+                grams[n][tuple(w[i - n + 1 : i + 1])] += 1
+
+    def discount(n: int) -> dict[int, float]:
+        times = Counter(grams[n].values())
+        common, out = 6 * times[6] / times[1] if times[1] else 1.0, {}
+        for r in range(1, 6):
+            if times[r] and common < 1:
+                d = ((r + 1) * times[r + 1] / (times[r] * r) - common) / (1 - common)
+                if 0 < d <= 1:
+                    out[r] = d
+        return out
+
+    d = [None, *(discount(n) for n in range(1, order + 1))]
+    total = sum(grams[1].values())
+
+    def p(context: tuple, word: str) -> float:
+        n = len(context) + 1
+        if n == 1:
+            kept = sum(d[1].get(c, 1) * c for c in grams[1].values())
+            scale = 1 if kept < total else total / (total + 1)
+            c = grams[1][(word,)]
+            return d[1].get(c, 1) * c / total * scale if c else 1 - kept / total * scale
+        after = {g[-1]: c for g, c in grams[n].items() if g[:-1] == context}
+        if not after:
+            return p(context[1:], word)
+        kept, size = sum(d[n].get(c, 1) * c for c in after.values()), sum(after.values())
+        whole = size if any(c in d[n] and d[n][c] < 1 for c in after.values()) else size + 1
+        if word in after:
+            return d[n].get(after[word], 1) * after[word] / whole
+        return (1 - kept / whole) / (1 - sum(p(context[1:], x) for x in after)) * p(context[1:], word)
+
+    return p, [g[0] for g in grams[1]]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_is_a_plain_model(spark, order, monkeypatch):
+    """Scores of every order are those of dictionaries, whose probabilities sum to one; several blocks, repeated and held-out rows."""
+    rng = np.random.default_rng(order)
+    weight = 1 / np.arange(1, 31)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(30)], p=weight / weight.sum(), size=int(rng.integers(0, 14)))) for _ in range(120)]
+    asked = texts[:20] + ["w0 new w1", "new new", "", "w29 w28 w27 w26 w25", "w0 w1 w2 w3 w0 w1"]
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(1000 + i, t, True) for i, t in enumerate(asked)]
+    got = {r.doc_id: r for r in katz.score(spark.createDataFrame(rows, "doc_id long, text string, h boolean").repartition(5), F.col("h"), order=order).collect()}
+    p, words = plain_katz(texts, order)
+    for key, t, _ in rows:
+        w = ["<s>"] * (order - 1) + t.split() + ["</s>"]
+        want = sum(np.log10(p(tuple(w[i - order + 1 : i]), w[i])) for i in range(order - 1, len(w)))
+        assert abs(got[key].score - want) < 1e-8, (key, t)
+        assert got[key].n_known == sum(x in words for x in w[order - 1 :])
+    for context in [("<s>",), ("w0",), ("w3", "w1"), ("w0", "w0", "w1")]:
+        c = ("<s>",) * (order - 1 - len(context)) + context[max(0, len(context) - order + 1) :] if order > 1 else ()
+        assert abs(sum(p(c, x) for x in [*words, "new"]) - 1) < 1e-9
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.one_of(st.text(max_size=80), st.text(alphabet="ab'é ", min_size=200, max_size=900), st.sampled_from(["<|endoftext|>x", "a<|startoftext|>", "I'M İ Σ. ŉ \x1c \x85"])))
 def test_bpe_is_the_library(text):
