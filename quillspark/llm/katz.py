@@ -103,20 +103,20 @@ class Level:
 
 
 class Block:
-    """One block: distinct words (hashes, the commonest first), tokens as places among them, and its documents."""
+    """One block: its distinct words' partitions (the commonest word first), tokens as places among them, and its documents."""
 
-    def __init__(self, vocabulary: np.ndarray, stream: np.ndarray, docs: np.ndarray):
-        self.vocabulary, self.stream, self.docs = vocabulary, stream.astype(np.int64), docs
+    def __init__(self, part: np.ndarray, stream: np.ndarray, docs: np.ndarray):
+        self.part, self.stream, self.docs = part, stream.astype(np.int64), docs
         starts = np.concatenate(([0], np.cumsum(docs["n"], dtype=np.int64)))
         self.starts = starts[:-1]
         self.train = np.repeat(docs["held"] == 0, docs["n"])
 
     def word_counts(self) -> np.ndarray:
-        return np.bincount(self.stream[self.train], minlength=len(self.vocabulary))
+        return np.bincount(self.stream[self.train], minlength=len(self.part))
 
     def levels(self, order: int) -> Iterator[tuple[int, Level]]:
         """The n-grams of the orders from two on."""
-        v, which = max(len(self.vocabulary), 1), self.stream
+        v, which = max(len(self.part), 1), self.stream
         for n in range(2, order + 1):
             code = np.empty(len(self.stream), dtype=np.int64)
             code[1:] = which[:-1] + 1
@@ -192,8 +192,8 @@ def score(documents: DataFrame, held_out: Column, order: int = ORDER) -> DataFra
             place = np.empty(len(order), dtype=np.int64)
             place[order] = np.arange(len(order))
             vocabulary, stream = vocabulary[order], place[stream]
-            b = Block(vocabulary, stream, docs)
-            return pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([packed(vocabulary, b.word_counts().astype(np.uint32))], pa.binary()), pa.array([packed(stream.astype(np.uint32), docs)], pa.binary())], ["block", "words", "body"])
+            b = Block(ask_of(vocabulary, parts), stream, docs)
+            return pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([packed(vocabulary, b.word_counts().astype(np.uint32))], pa.binary()), pa.array([packed(b.part.astype(np.uint32), stream.astype(np.uint32), docs)], pa.binary())], ["block", "words", "body"])
 
         for batch in batches:
             for part, data, offsets in chunks(batch):
@@ -261,15 +261,14 @@ def score(documents: DataFrame, held_out: Column, order: int = ORDER) -> DataFra
     lowest = Lowest(s[: K + 2], int(s[K + 3]), int(s[K + 2]))
 
     def opened(t: pa.Table) -> tuple[int, Block]:
-        vocabulary, _ = unpacked(t.column("words")[0].as_py(), "<u8", "<u4")
-        stream, docs = unpacked(t.column("body")[0].as_py(), "<u4", DOC)
-        return t.column("block")[0].as_py(), Block(vocabulary, stream, docs)
+        return t.column("block")[0].as_py(), Block(*unpacked(t.column("body")[0].as_py(), "<u4", "<u4", DOC))
 
     def word_replies(b: Block, t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        p, c, ids = ask_of(b.vocabulary, parts), np.zeros(len(b.vocabulary), dtype=np.int64), np.zeros(len(b.vocabulary), dtype=np.uint64)
+        c, ids = np.zeros(len(b.part), dtype=np.int64), np.zeros(len(b.part), dtype=np.uint64)
         for k, v in zip(t.column("p").to_pylist(), t.column("v").to_pylist()):
             total, number = unpacked(v, "<u8", "<u8")
-            c[p == k], ids[p == k] = total, number
+            at = b.part == k
+            c[at], ids[at] = total, number
         return c, ids
 
     def of_level(replies: pa.Table, n: int) -> pa.Table:
@@ -332,9 +331,10 @@ def score(documents: DataFrame, held_out: Column, order: int = ORDER) -> DataFra
         return count_part
 
     replies, d = word_table.where("kind = 0").withColumn("kind", F.lit(1)), {1: lowest.d}
+    bodies = blocks.select("block", "body").groupBy("block")
     free_shuffles(spark)
     for n in range(2, order + 1):
-        asked = blocks.groupBy("block").cogroup(replies.where(F.col("kind").isin(1, n - 1)).groupBy("block")).applyInArrow(ask_grams(n), "p int, block long, v binary")
+        asked = bodies.cogroup(replies.where(F.col("kind").isin(1, n - 1)).groupBy("block")).applyInArrow(ask_grams(n), "p int, block long, v binary")
         table = scratch.save(asked.groupBy("p").applyInArrow(count_grams(n), answer_schema), f"grams-{n}")
         d[n] = discounts(statistic(table)[: K + 2])
         replies = replies.unionByName(table.where("kind = 0").withColumn("kind", F.lit(n)))
@@ -380,7 +380,7 @@ def score(documents: DataFrame, held_out: Column, order: int = ORDER) -> DataFra
         doc_ids = pa.array(b.docs["doc"], pa.int64(), mask=b.docs["null"].astype(bool))
         return pa.table([doc_ids, pa.array(b.docs["held"].astype(bool)), pa.array(b.docs["n"].astype(np.int64)), pa.array(add((occurrences > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(np.log10(p)[which]))], schema=pa.schema(list(zip(names, types))))
 
-    out = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score_block, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = bodies.cogroup(replies.groupBy("block")).applyInArrow(score_block, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(lowest.total).cast("long"))
 
 
