@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bytes import chunks, mix64, seeded, words
-from .common import Scratch, free_shuffles, parts_for, remainder
+from .common import Scratch, free_shuffles, give_back, parts_for, remainder
 
 SEED, END = (int(x) for x in seeded(2, 9))
 #: Words of the longest n-gram.
@@ -242,7 +242,7 @@ def score(documents: DataFrame, held_out: Column, order: int = ORDER) -> DataFra
         number[np.argsort(-total, kind="stable")] = np.arange(len(distinct)) * parts + t.column("p")[0].as_py() + 1
         return answers(t, total, [packed(c.astype(np.uint64), i) for c, i in zip(np.split(total[at], cut), np.split(number[at], cut))])
 
-    word_table = scratch.save(blocks.select("block", "words").mapInArrow(ask_words, "p int, block long, v binary").groupBy("p").applyInArrow(count_words, answer_schema), "words")
+    word_table = scratch.save(blocks.select("block", "words").mapInArrow(ask_words, "p int, block long, v binary").repartition(parts, "p").groupBy("p").applyInArrow(count_words, answer_schema), "words")
 
     def statistic(answered: DataFrame) -> np.ndarray:
         """Sums of the partitions' fixed-size statistics."""
@@ -277,6 +277,7 @@ def score(documents: DataFrame, held_out: Column, order: int = ORDER) -> DataFra
     def ask_grams(n: int):
         def ask(key, t: pa.Table, replies: pa.Table) -> pa.Table:
             """The block's distinct n-grams by context: the context's words, then each word, its count after the shorter context, and its count here."""
+            give_back()
             block, b = opened(t)
             counts, ids = word_replies(b, of_level(replies, 1))
             tokens, out = [ids], []
@@ -302,6 +303,7 @@ def score(documents: DataFrame, held_out: Column, order: int = ORDER) -> DataFra
         def count_part(t: pa.Table) -> pa.Table:
             """Counts of the asked n-grams over all blocks; for each context its total and which of the counts 1 .. K it has; and for those that
             back off, how often it has them, and the lower-order mass it has seen."""
+            give_back()
             asked = [unpacked(v, *["<u8"] * (n - 1), "<u4", "<u8", "<u8", "<u4") for v in t.column("v").to_pylist()]
             at, m = folded([np.concatenate([a[j] for a in asked]) for j in range(n - 1)])
             own = np.split(at, np.cumsum([len(a[0]) for a in asked])[:-1])
@@ -331,11 +333,13 @@ def score(documents: DataFrame, held_out: Column, order: int = ORDER) -> DataFra
         return count_part
 
     replies, d = word_table.where("kind = 0").withColumn("kind", F.lit(1)), {1: lowest.d}
-    bodies = blocks.select("block", "body").groupBy("block")
+    # as many tasks as the input asks for: none reads more blocks or parts as the input grows
+    dealt = lambda df, key: df.repartition(parts, key).groupBy(key)
+    bodies = dealt(blocks.select("block", "body"), "block")
     free_shuffles(spark)
     for n in range(2, order + 1):
-        asked = bodies.cogroup(replies.where(F.col("kind").isin(1, n - 1)).groupBy("block")).applyInArrow(ask_grams(n), "p int, block long, v binary")
-        table = scratch.save(asked.groupBy("p").applyInArrow(count_grams(n), answer_schema), f"grams-{n}")
+        asked = bodies.cogroup(dealt(replies.where(F.col("kind").isin(1, n - 1)), "block")).applyInArrow(ask_grams(n), "p int, block long, v binary")
+        table = scratch.save(dealt(asked, "p").applyInArrow(count_grams(n), answer_schema), f"grams-{n}")
         d[n] = discounts(statistic(table)[: K + 2])
         replies = replies.unionByName(table.where("kind = 0").withColumn("kind", F.lit(n)))
         del asked
@@ -344,6 +348,7 @@ def score(documents: DataFrame, held_out: Column, order: int = ORDER) -> DataFra
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def score_block(key, t: pa.Table, replies: pa.Table) -> pa.Table:
+        give_back()
         _, b = opened(t)
         c, ids = word_replies(b, of_level(replies, 1))
         tokens, p, which, wide = [ids], lowest.p(c), b.stream, None
@@ -380,7 +385,7 @@ def score(documents: DataFrame, held_out: Column, order: int = ORDER) -> DataFra
         doc_ids = pa.array(b.docs["doc"], pa.int64(), mask=b.docs["null"].astype(bool))
         return pa.table([doc_ids, pa.array(b.docs["held"].astype(bool)), pa.array(b.docs["n"].astype(np.int64)), pa.array(add((occurrences > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(np.log10(p)[which]))], schema=pa.schema(list(zip(names, types))))
 
-    out = bodies.cogroup(replies.groupBy("block")).applyInArrow(score_block, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = bodies.cogroup(dealt(replies, "block")).applyInArrow(score_block, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(lowest.total).cast("long"))
 
 
