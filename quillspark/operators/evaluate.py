@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import vectors as V
+
 
 def first_hits(ranked: DataFrame, by: list[str], hit: Column) -> DataFrame:
     """by, first: the best rank among hits, null for none."""
@@ -82,3 +84,25 @@ def near_misses(retrieved: DataFrame, gold_pages: Column, same_lecture: Column)
     missed = retrieved.select("query_id", hit.alias("hit"), near.alias("near")).groupBy("query_id").agg(F.bool_or("hit").alias("hit"), F.bool_or("near").alias("near")).where("NOT hit")
     out = missed.agg(F.count(F.when(F.col("near"), 1)).alias("near"), F.count(F.lit(1)).alias("misses"))
     return out.withColumn("near_miss_rate", F.round(F.coalesce(F.try_divide("near", "misses"), F.lit(0.0)), 4))
+
+
+def abstained(cited: Column, retrieved: Column) -> Column:
+    """An answer none of whose citations is a retrieved page abstains."""
+    return F.size(F.array_intersect(cited, retrieved)) == 0
+
+
+def diagnosis(retrieved: DataFrame, by: str, gold_page: Column, same_lecture: Column, k: int = 5, most: int = 5) -> DataFrame:
+    """One row a variant: queries, top-1 and top-k lecture hits, misses and near misses, and the pages that come first most often."""
+    rows = retrieved.withColumns({"__same": same_lecture, "__off": F.col("page") - gold_page})
+    each = rows.groupBy(by, "query_id").agg(
+        F.coalesce(F.max(F.when(F.col("rank") == 1, F.col("__same"))), F.lit(False)).alias("top1"),
+        F.coalesce(F.max(F.when(F.col("rank") <= k, F.col("__same"))), F.lit(False)).alias("topk"),
+        F.max(F.col("__same") & (F.col("__off") == 0)).alias("hit"),
+        F.max(F.col("__same") & (F.abs("__off") <= 1)).alias("near"),
+    )
+    n = lambda c: F.count(F.when(c, 1))
+    sums = each.groupBy(by).agg(F.count(F.lit(1)).alias("n"), n(F.col("top1")).alias("top1_lecture"), n(F.col("topk")).alias("topk_lecture"), n(~F.col("hit")).alias("misses"), n(~F.col("hit") & F.col("near")).alias("near_misses"))
+    tops = retrieved.where("rank = 1").groupBy(by, "id").agg(F.count(F.lit(1)).alias("times"))
+    tops = V.best(tops, [by], [F.desc("times"), F.asc("id")], most, "__place")
+    tops = tops.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__place", "id", "times"))), lambda x: F.concat_ws(":", x["id"], x["times"])).alias("attractors"))
+    return sums.join(tops, by, "left")

@@ -36,6 +36,19 @@ def delete_cascade(parents: DataFrame, children: dict[str, tuple[DataFrame, str]
     return out | {n: df.join(gone, df[fk] == gone["__key"], "left_anti") for n, (df, fk) in children.items()}
 
 
+def cleanup_report(parents: DataFrame, children: dict[str, tuple[DataFrame, str]], condition: Column, key: str, dry_run: bool = True) -> DataFrame:
+    """What delete_cascade takes, table by table: rows before, rows that go, and whether they have gone; no parent to delete is a failure."""
+    going = parents.where(condition)
+    keys = going.select(F.col(key).alias("__key")).distinct()
+    count = lambda df, name, gone: df.agg(F.lit(name).alias("tab"), F.count(F.lit(1)).alias("before"), F.count(F.when(gone, 1)).alias("going"))
+    out = count(parents, "parents", F.coalesce(condition, F.lit(False)))
+    for name, (df, fk) in children.items():
+        marked = df.select(F.col(fk).alias("__fk")).join(keys, F.col("__fk") == F.col("__key"), "left")
+        out = out.unionByName(count(marked, name, F.col("__key").isNotNull()))
+    found = out.agg(F.max(F.when(F.col("tab") == "parents", F.col("going"))).alias("__n"))
+    return out.crossJoin(F.broadcast(found)).select("tab", "before", "going", F.lit(dry_run).alias("dry_run"), (F.lit(dry_run) | (F.col("__n") > 0)).alias("success"))
+
+
 def split_off(parents: DataFrame, children: dict[str, tuple[DataFrame, str]], condition: Column, key: str) -> dict[str, DataFrame]:
     """Only the parents that meet the condition and the rows that point at them."""
     kept = parents.where(condition)

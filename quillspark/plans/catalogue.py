@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import knowledge, relational, retrieval, sequences, stores, streams, texts  # noqa: F401
+    from . import knowledge, relational, rendering, retrieval, sequences, stores, streams, texts  # noqa: F401
 
     return dict(_QUERIES)
 

@@ -25,13 +25,13 @@ def job_progress(spark, d):
 
 @query(PROGRESS)
 def stream_job_progress(spark, d):
-    return jobs.run_to_memory(jobs.job_progress(_stream(spark, d, "events")), f"progress_{uuid.uuid4().hex}", "complete")
+    return jobs.run_to_table(jobs.job_progress(_stream(spark, d, "events")), f"progress_{uuid.uuid4().hex}", "complete")
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_windowed_counts(spark, d):
     e = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = jobs.run_to_memory(jobs.windowed_counts(e), f"windows_{uuid.uuid4().hex}", "complete")
+    out = jobs.run_to_table(jobs.windowed_counts(e), f"windows_{uuid.uuid4().hex}", "complete")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -40,5 +40,15 @@ def stream_token_deltas(spark, d):
     from ..operators.sequence import ordered_text
 
     t = _stream(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), F.col("text").alias("token"))
-    out = jobs.run_to_memory(jobs.token_deltas(t), f"deltas_{uuid.uuid4().hex}", "append")
+    out = jobs.run_to_table(jobs.token_deltas(t), f"deltas_{uuid.uuid4().hex}", "append")
     return out.groupBy("request_id").agg(ordered_text("delta", "out_seq", "").alias("said"))
+
+
+@query("SELECT conv_id AS request_id, regexp_extract(string_agg(text, ' ' ORDER BY turn), '^(.*\\. )', 1, 's') AS said FROM conversations GROUP BY conv_id HAVING contains(string_agg(text, ' ' ORDER BY turn), '. ')")
+def stream_speech_segments(spark, d):
+    from ..operators.sequence import ordered_text
+
+    token = F.concat(F.when(F.col("turn") > 0, " ").otherwise(""), "text")
+    t = _stream(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), token.alias("token"))
+    out = jobs.run_to_table(jobs.speech_segments(t), f"speech_{uuid.uuid4().hex}", "append")
+    return out.groupBy("request_id").agg(ordered_text("segment", "out_seq", "").alias("said"))

@@ -5,6 +5,7 @@ Each takes a streaming (or batch) DataFrame and returns one; sources and sinks a
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,8 +70,48 @@ def token_deltas(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("request_id").applyInPandasWithState(step, "request_id long, out_seq long, channel string, delta string", "held string, thinking boolean, number long", "append", GroupStateTimeout.NoTimeout)
 
 
+def speech_segments(tokens: DataFrame) -> DataFrame:
+    """Rows (request_id, seq, token) to (request_id, out_seq, segment): whole sentences, as far as the last full stop and blank that has come."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, number = state.get if state.exists else ("", 0)
+        out = []
+        for token in pd.concat(list(frames)).sort_values("seq")["token"]:
+            held += token or ""
+            if (end := held.rfind(". ")) > 0 and held[: end + 2].strip():
+                out.append((key[0], number, held[: end + 2]))
+                held, number = held[end + 2 :], number + 1
+        state.update((held, number))
+        yield pd.DataFrame(out, columns=["request_id", "out_seq", "segment"])
+
+    return tokens.groupBy("request_id").applyInPandasWithState(step, "request_id long, out_seq long, segment string", "held string, number long", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_to_table(df: DataFrame, name: str, mode: str) -> DataFrame:
+    """Runs a stream over what its source has now into Parquet below the shared folder, and reads it back.
+
+    A batch that is run again replaces its own folder; in complete mode the last batch is the result.  A name that ran before goes on where it stopped.  Nothing passes through the driver.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    base = f"{(shared or 'file://' + tempfile.mkdtemp(prefix='streams-')).rstrip('/')}/{name}"
+    last = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+        last.append(number)
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not last:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{base}/rows/batch={last[-1]}" if mode == "complete" else f"{base}/rows/*")
+
+
 def run_to_memory(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what its source has now and returns the result table: for tests and small reports."""
+    """The same into the driver's memory: for looking at a small stream, not for results that grow."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.table(name)
