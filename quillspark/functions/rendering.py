@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from ..operators.sequence import repaired_levels
@@ -198,3 +200,126 @@ threads_rendered = arrays(thread_markdown, T.StringType())
 comments_filtered = arrays(lambda raw: json.dumps(comments_kept(json.loads(raw)), ensure_ascii=False), T.StringType())
 toctree_of = arrays(toctree, T.ArrayType(T.StringType()))
 navigation_of = arrays(site_navigation, T.StringType())
+
+
+class _Markdown(HTMLParser):
+    """Markdown of a page, or of its parts that a (tag, class) pair names: headings, lists, links, emphasis, code, tables as rows of cells."""
+
+    MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
+    BLOCKS = {"p", "div", "section", "article", "main", "table", "blockquote", "pre", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6"}
+    HIDDEN = {"script", "style", "head", "template"}
+    #: Tags without an end.
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+    def __init__(self, parts: list[tuple[str, str]]):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.out, self.open = parts, [], []
+        self.lists, self.links, self.deep, self.hidden, self.inside = [], [], 0, 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        here = dict(attrs)
+        if tag in self.VOID:
+            if self.shown and tag in ("br", "hr"):
+                self.out.append("  \n" if tag == "br" else "\n\n---\n\n")
+            elif self.shown and tag == "img" and here.get("src"):
+                self.out.append(f"![{here.get('alt') or ''}]({here['src']})")
+            return
+        chosen = any(tag == t and c in (here.get("class") or "").split() for t, c in self.parts)
+        if chosen and not self.inside:
+            self.out.append("\n\n")
+        self.inside += chosen
+        self.hidden += tag in self.HIDDEN
+        self.open.append((tag, chosen))
+        if not self.shown:
+            return
+        if tag in ("ul", "ol"):
+            self.lists.append([tag, 0])
+        if tag == "pre":
+            self.deep += 1
+            self.out.append("\n\n```\n")
+        elif tag == "li":
+            kind = self.lists[-1] if self.lists else ["ul", 0]
+            kind[1] += 1
+            self.out.append("\n" + "  " * max(0, len(self.lists) - 1) + ("* " if kind[0] == "ul" else f"{kind[1]}. "))
+        elif tag == "a":
+            self.links.append(here.get("href"))
+            self.out.append("[" if here.get("href") else "")
+        elif tag in self.MARKS and not self.deep:
+            self.out.append(self.MARKS[tag])
+        elif tag in ("tr", "td", "th"):
+            self.out.append("\n" if tag == "tr" else "| ")
+        elif tag in self.BLOCKS and not (tag in ("ul", "ol") and len(self.lists) > 1):
+            self.out.append("\n\n" + ("#" * int(tag[1]) + " " if tag[0] == "h" else ""))
+
+    def handle_endtag(self, tag):
+        if tag not in (t for t, _ in self.open):
+            return
+        while self.open:  # what stands open within it ends with it
+            name, chosen = self.open.pop()
+            if self.shown:
+                self.finish(name)
+            self.inside -= chosen
+            self.hidden -= name in self.HIDDEN
+            if name == tag:
+                return
+
+    def finish(self, tag):
+        if tag == "pre":
+            self.deep -= 1
+            self.out.append("\n```\n\n")
+        elif tag == "a" and self.links:
+            target = self.links.pop()
+            self.out.append(f"]({target})" if target else "")
+        elif tag in self.MARKS and not self.deep:
+            self.out.append(self.MARKS[tag])
+        elif tag in ("td", "th"):
+            self.out.append(" ")
+        elif tag in self.BLOCKS:
+            if tag in ("ul", "ol") and self.lists:
+                self.lists.pop()
+            self.out.append("" if self.lists else "\n\n")
+
+    def handle_data(self, data):
+        if self.shown:
+            self.out.append(data if self.deep else re.sub(r"\s+", " ", data))
+
+    @property
+    def shown(self) -> bool:
+        return not self.hidden and (bool(self.inside) or not self.parts)
+
+
+def html_markdown(html: str, parts: list[tuple[str, str]] = ()) -> str:
+    """A page as markdown: only the parts named by (tag, class), or all of it; blocks stand a blank line apart, fences on lines of their own.
+
+    An unfinished tag at the end is text, as the standard parser has it.
+    """
+    parser = _Markdown(list(parts))
+    parser.feed(html.replace("\xa0", " "))
+    parser.close()
+    out, fenced = [], False
+    for line in "".join(parser.out).split("\n"):
+        fence = line.startswith("```")
+        if not fenced and not fence:
+            line = re.sub(r"(?<=\S) {2,}(?=\S)", " ", line.rstrip() if line.strip() else "")
+            line = line if re.match(r"\s*(?:\*|\d+\.) ", line) else line.lstrip()
+            if not line and (not out or not out[-1]):
+                continue
+        fenced ^= fence
+        out.append(line)
+    return "\n".join(out).strip("\n")
+
+
+def page_markdown(html: Column, url: Column, parts: dict[str, list[tuple[str, str]]]) -> Column:
+    """html_markdown with the parts of the first site (host and beginning of the path) that the page belongs to."""
+    sites = [(*re.match(r"[a-z]+://([^/?#]*)([^?#]*)", key).groups(), chosen) for key, chosen in parts.items()]
+
+    @F.pandas_udf(T.StringType())
+    def convert(pages: pd.Series, urls: pd.Series) -> pd.Series:
+        out = []
+        for page, address in zip(pages, urls):
+            found = re.match(r"[A-Za-z]+://([^/?#]*)([^?#]*)", address or "")
+            chosen = next((c for host, path, c in sites if found and found[1] == host and found[2].startswith(path)), [])
+            out.append(None if page is None else html_markdown(page, chosen))
+        return pd.Series(out, dtype=object)
+
+    return convert(html, url)

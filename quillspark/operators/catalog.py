@@ -127,3 +127,23 @@ def grid(spark, values: dict[str, list], idle: dict[str, str] | None = None) ->
             rows.append(tuple(None if p in off else row[p] for p in values))
     kinds = {bool: "boolean", int: "int", float: "double", str: "string"}
     return spark.createDataFrame(rows, ", ".join(f"{p} {kinds[type(v[0])]}" for p, v in values.items()))
+
+
+class IndexCache:
+    """Frames kept by scope as long as the data's version stays: another version builds anew and lets the old frame go."""
+
+    def __init__(self):
+        self._kept: dict[str, tuple[object, DataFrame]] = {}
+
+    def get(self, scope: str, version: object, build) -> DataFrame:
+        kept = self._kept.get(scope)
+        if kept is None or kept[0] != version:
+            if kept is not None:
+                kept[1].unpersist()
+            self._kept[scope] = kept = (version, build().persist())
+        return kept[1]
+
+    def clear(self) -> None:
+        for _, df in self._kept.values():
+            df.unpersist()
+        self._kept.clear()

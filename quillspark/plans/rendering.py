@@ -139,3 +139,29 @@ def conversion_log(spark, d):
     out = M.converted(f, "path", "category", {"md": lambda c: c, "txt": lambda c: F.concat(F.lit("# "), c)})
     log = M.event_log(out, "path", F.when(F.col("markdown").isNull() & F.col("path").endswith(".bin"), F.lit("no converter")))
     return log.withColumn("file", F.regexp_replace("file", "bin$", "md"))
+
+
+@query("SELECT doc_id, '# ' || lang || chr(10) || chr(10) || 'A **b** [' || source || '](x/' || doc_id || ')' || chr(10) || chr(10) || '* one' || chr(10) || '* two' AS markdown FROM documents WHERE lang IS NOT NULL")
+def html_markdown(spark, d):
+    html = F.concat(F.lit("<html><head><title>t</title></head><body><nav>menu</nav><div class='wrap content'><h1> "), "lang", F.lit("</h1><p>A <b>b</b>\n <a href='x/"), "doc_id", F.lit("'>"), "source", F.lit("</a><ul><li>one</li><li>two</ul></div><script>no</script></body></html>"))
+    site = {"https://a.example/other": [("p", "x")], "https://a.example/docs": [("div", "content")]}
+    return table(spark, d, "documents").where("lang IS NOT NULL").select("doc_id", R.page_markdown(html, F.concat(F.lit("https://a.example/docs/"), "doc_id"), site).alias("markdown"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*(?:[^?#]*/)?([^/?#]+)/*(?:[?#].*)?$', 1) AS name, FALSE AS video FROM pages")
+def url_file_names(spark, d):
+    from ..functions import urls as U
+
+    return table(spark, d, "pages").select("page_id", U.file_name(F.col("url")).alias("name"), U.video_host(F.col("url")).alias("video"))
+
+
+@query("SELECT doc_id, unnest([1, 6]) AS first, unnest([3, 6]) AS last FROM documents WHERE lang IS NOT NULL")
+def code_fences(spark, d):
+    from pyspark.sql import types as T
+
+    from ..functions.parsing import arrays, fence_spans
+
+    spans = arrays(fence_spans, T.ArrayType(T.ArrayType(T.IntegerType())))
+    text = F.concat("source", F.lit("\n```py\n"), "lang", F.lit("\n```\nx\n\n```"))
+    rows = table(spark, d, "documents").where("lang IS NOT NULL").select("doc_id", F.explode(spans(text)).alias("s"))
+    return rows.select("doc_id", F.col("s")[0].alias("first"), F.col("s")[1].alias("last"))

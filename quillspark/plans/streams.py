@@ -52,3 +52,23 @@ def stream_speech_segments(spark, d):
     t = _stream(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), token.alias("token"))
     out = jobs.run_to_table(jobs.speech_segments(t), f"speech_{uuid.uuid4().hex}", "append")
     return out.groupBy("request_id").agg(ordered_text("segment", "out_seq", "").alias("said"))
+
+
+@query("""WITH b AS (SELECT conv_id, turn, text, turn % 3 = 0 AS o, turn % 2 = 1 AS c FROM conversations),
+w AS (SELECT *, max(turn) FILTER (o) OVER (PARTITION BY conv_id ORDER BY turn) AS lo, max(turn) FILTER (c) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lc,
+count(*) FILTER (text <> '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS said FROM b),
+e AS (SELECT conv_id, turn, 0 AS k, 'open' AS event, CAST(turn AS VARCHAR) AS value FROM w WHERE o UNION ALL SELECT conv_id, turn, 1, 'text', CASE WHEN said > 0 THEN chr(10) || chr(10) ELSE '' END || text FROM w WHERE text <> ''
+UNION ALL SELECT conv_id, turn, 2, 'close', CAST(lo AS VARCHAR) FROM w WHERE c AND lo IS NOT NULL AND (lc IS NULL OR lo > lc))
+SELECT conv_id AS request_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS out_seq, event, value FROM e""")
+def stream_citation_events(spark, d):
+    b = _stream(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), "text", F.col("turn").cast("long").alias("citation"), (F.col("turn") % 3 == 0).alias("opens"), (F.col("turn") % 2 == 1).alias("closes"))
+    return jobs.run_to_table(jobs.citation_events(b), f"citations_{uuid.uuid4().hex}", "append")
+
+
+@query("SELECT conv_id AS request_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS out_seq, coalesce(text, '') AS point FROM conversations")
+def stream_bullets(spark, d):
+    bullet = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("point"), F.col("role").alias("purpose")))
+    token = F.concat(F.when(F.col("turn") == 0, '{"title": "t", "bullets": [').otherwise(", "), bullet)
+    t = _stream(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), token.alias("token"))
+    out = jobs.run_to_table(jobs.growing_bullets(t), f"bullets_{uuid.uuid4().hex}", "append")
+    return out.select("request_id", "out_seq", F.get_json_object("bullet", "$.point").alias("point"))

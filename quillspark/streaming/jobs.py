@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.parsing import whole_bullets
+
 
 def job_progress(events: DataFrame, job: str = "user_id", status: str = "event_type", done: tuple[str, ...] = ("purchase",), failed: tuple[str, ...] = ("error",)) -> DataFrame:
     """Counters of each job: processed, succeeded, failed, others skipped.  On a stream: update or complete mode."""
@@ -87,6 +89,48 @@ def speech_segments(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("request_id").applyInPandasWithState(step, "request_id long, out_seq long, segment string", "held string, number long", "append", GroupStateTimeout.NoTimeout)
 
 
+def citation_events(blocks: DataFrame) -> DataFrame:
+    """Rows (request_id, seq, text, citation, opens, closes) to ordered events (request_id, out_seq, event, value).
+
+    A block that opens a citation says so before its text; one that closes says so after its text, where a citation is open.
+    A blank line stands before the text of every block but the first that has text.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        active, said, number = state.get if state.exists else (None, False, 0)
+        out = []
+        for b in pd.concat(list(frames)).sort_values("seq").itertuples():
+            here = []
+            if b.opens and not pd.isna(b.citation):
+                active = int(b.citation)
+                here.append(("open", str(active)))
+            if b.text:
+                here.append(("text", ("\n\n" if said else "") + b.text))
+                said = True
+            if b.closes and active is not None:
+                here.append(("close", str(active)))
+                active = None
+            out += [(key[0], number + k, *e) for k, e in enumerate(here)]
+            number += len(here)
+        state.update((active, said, number))
+        yield pd.DataFrame(out, columns=["request_id", "out_seq", "event", "value"])
+
+    return blocks.groupBy("request_id").applyInPandasWithState(step, "request_id long, out_seq long, event string, value string", "active long, said boolean, number long", "append", GroupStateTimeout.NoTimeout)
+
+
+def growing_bullets(tokens: DataFrame) -> DataFrame:
+    """Rows (request_id, seq, token) of growing JSON to (request_id, out_seq, bullet): each bullet once, as soon as it is whole."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, number = state.get if state.exists else ("", 0)
+        held += "".join(t or "" for t in pd.concat(list(frames)).sort_values("seq")["token"])
+        new = whole_bullets(held)[number:]
+        state.update((held, number + len(new)))
+        yield pd.DataFrame([(key[0], number + k, b) for k, b in enumerate(new)], columns=["request_id", "out_seq", "bullet"])
+
+    return tokens.groupBy("request_id").applyInPandasWithState(step, "request_id long, out_seq long, bullet string", "held string, number long", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_to_table(df: DataFrame, name: str, mode: str) -> DataFrame:
     """Runs a stream over what its source has now into Parquet below the shared folder, and reads it back.
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import rendering as R
-from quillspark.operators import models as M, store as S
+from quillspark.operators import catalog as C, models as M, store as S
 from quillspark.streaming import jobs
 
 
@@ -120,3 +120,21 @@ def test_streams_to_tables(spark, tmp_path, mode):
     else:
         got = jobs.run_to_table(stream.groupBy("request_id").count(), f"counts-{uuid.uuid4().hex}", mode)
         assert dict(map(tuple, got.collect())) == {1: 3, 2: 1, 3: 1}
+
+
+def test_html_markdown():
+    assert R.html_markdown("<h2>A</h2><pre>x  = 1\n y</pre><p>t<br>u &amp; v</p><ol><li>a<ul><li>b</ul><li>c</ol>") == "## A\n\n```\nx  = 1\n y\n```\n\nt\nu & v\n\n1. a\n  * b\n2. c"
+    assert R.html_markdown("<div class=x><p>in</p></div><p>out</p>", [("div", "x")]) == "in" and R.html_markdown("") == "" and R.html_markdown("a < b <p") == "a < b <p"
+    assert R.html_markdown("</p></div><b>x</b><img src=y alt=z><style>q</style>") == "**x**![z](y)"
+
+
+def test_index_cache(spark):
+    cache, built = C.IndexCache(), []
+
+    def build():
+        built.append(1)
+        return spark.range(len(built))
+
+    assert cache.get("a", 1, build).count() == 1 and cache.get("a", 1, build).count() == 1 and len(built) == 1
+    assert cache.get("a", 2, build).count() == 2 and cache.get("b", 2, build).count() == 3
+    cache.clear()
