@@ -2,7 +2,8 @@
 
 A document is the set of its distinct 5-word shingles (64-bit hashes); documents of equal sets are one node, so copies
 cost nothing more.  Nodes that may link share one of their first n - ceil(0.8 n) + 1 shingles in one global order (frequent
-shingles last, else by hash): the prefix filter, which loses no link.  Prefix postings meet in groups by hash; one whose neighbours in size are out of reach is let go.
+shingles last, else by hash): the prefix filter, which loses no link.  The first shingle that two sets share has all others behind
+it, so its places in both bound the overlap.  Prefix postings meet in groups by hash; one without a partner that sizes and places let link is let go.
 
 1. Each node goes to the leader it shares most prefix shingles with; a leader's nodes form tiles of bounded size.
 2. Inside a tile nodes stand in bands of sizes that can reach the threshold; bit counts of their hashed bitmaps bound each
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bytes import chunks, mix64, shingle_sets
-from .common import Scratch, give_back, lean, parts_for, text_rows
+from .common import Scratch, free_shuffles, give_back, lean, parts_for, text_rows
 from .graph import Forest, components
 
 HEAVY_KEPT = 200_000
@@ -40,6 +41,8 @@ OFTEN_HERE, OFTEN = 8, 32
 TILE = 256
 #: Neighbours in size that are paired first, in postings of more nodes; all postings are paired in full afterwards.
 NEAR = 32
+#: Nodes of a posting up to which postings of one first node meet in one part, so that nodes that share a passage meet once; larger ones are dealt one by one.
+TOGETHER = 256
 #: Pairs whose bitmaps are compared at once, and bytes of bitmaps.
 PAIRS, BITMAP_BYTES = 1 << 20, 1 << 24
 
@@ -63,6 +66,46 @@ def prefix(s: np.ndarray, heavy: np.ndarray, level: np.ndarray, percent: int) ->
     return s[np.argsort(np.where(heavy[at] == s, level[at], 0), kind="stable")[:length]]
 
 
+def reach(size: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """The largest partner that a set of this size can link with if the first shingle they share, in the global order, is its at-th."""
+    return (100 + percent) * (size - at) // percent - size
+
+
+#: A prefix posting: 32 bits of the hash beyond its part (postings only propose pairs), node, size of the set, place in the order.
+POSTING = np.dtype([("h", "<u4"), ("node", "<i8"), ("size", "<i4"), ("at", "<i4")])
+
+
+def packed(rows: np.ndarray) -> bytes:
+    """Records byte by byte: first bytes of all of them, second bytes, ...; bytes that are mostly zero then compress away."""
+    return rows.view(np.uint8).reshape(len(rows), rows.itemsize).T.tobytes()
+
+
+def unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+
+
+def starts(h: np.ndarray) -> np.ndarray:
+    """Of each entry the place where its run of equal values begins."""
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+    return np.repeat(first, np.diff(np.append(first, len(h))))
+
+
+def paired(rows: np.ndarray, percent: int) -> np.ndarray:
+    """Which postings, in order of hash, then size, have a partner that sizes and places let link; beyond NEAR neighbours all of a run count."""
+    size = rows["size"].astype(np.int64)
+    most, start = reach(size, rows["at"], percent), starts(rows["h"])
+    out, active = np.zeros(len(rows), bool), np.arange(len(rows))
+    for offset in range(1, NEAR + 2):
+        active = active[active - offset >= start[active]]
+        active = active[100 * size[active - offset] >= percent * size[active]]
+        if offset <= NEAR:
+            ok = active[(size[active - offset] <= most[active]) & (size[active] <= most[active - offset])]
+            out[ok] = out[ok - offset] = True
+    many = np.zeros(len(rows), bool)
+    many[start[active]] = True
+    return out | many[start]
+
+
 def bits_for(size: int) -> int:
     """Bits of the bitmap of a set: four to eight for each element of a small set, two to four for each of a large one."""
     return min(1 << 20, max(256, min(1024, 1 << (4 * size - 1).bit_length()), 1 << (2 * size - 1).bit_length()))
@@ -120,15 +163,14 @@ class Bitmaps:
         return out - needed(self.sizes[i], self.sizes[j], percent)
 
 
-def posting_pairs(h: np.ndarray, doc: np.ndarray, component: np.ndarray, maps: Bitmaps, percent: int, near: int | None = None) -> Iterator[np.ndarray]:
-    """(place, place, slack) of documents that share a posting, stand in different components and whose sizes and bitmaps let them link.
+def posting_pairs(h: np.ndarray, doc: np.ndarray, component: np.ndarray, maps: Bitmaps, percent: int, near: int | None = None, most: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """(place, place, slack) of documents that share a posting, stand in different components and whose sizes, places in the order and bitmaps let them link.
 
-    h and doc (a place among the bitmaps) are the postings, in order of hash, then size.  With near, only that many neighbours pair.
+    h, doc (a place among the bitmaps) and most (the reach of each) are the postings, in order of hash, then size.  With near, only that many neighbours pair.
     """
     sizes, count = maps.sizes, len(maps.sizes)
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
-    start = np.repeat(first, np.diff(np.append(first, len(h))))
-    active, held, total = np.arange(len(h)), [], 0
+    start, held, total = starts(h), [], 0
+    active = np.arange(len(h))
 
     def settle():
         i, j = np.divmod(np.unique(np.concatenate(held)), count)
@@ -143,6 +185,8 @@ def posting_pairs(h: np.ndarray, doc: np.ndarray, component: np.ndarray, maps: B
         for k in (active[m : m + PAIRS] for m in range(0, len(active), PAIRS)):
             i, j = doc[k], doc[k - offset]
             apart = component[i] != component[j]
+            if most is not None:
+                apart &= (sizes[j] <= most[k]) & (sizes[i] <= most[k - offset])
             held.append(np.maximum(i, j)[apart] * count + np.minimum(i, j)[apart])
             total += int(apart.sum())
             if total > PAIRS:
@@ -231,20 +275,19 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
     hashes = np.array([r["a"] for r in top], dtype=np.int64).view(np.uint64)
     level = np.array([r["k"].bit_length() for r in top], dtype=np.int8)
     heavy = spark.sparkContext.broadcast((np.sort(hashes), level[np.argsort(hashes)]))
-    record = np.dtype([("h", "<u8"), ("node", "<i8"), ("size", "<i4")])
 
     def postings(batches):
         """Prefix postings, dealt by hash into packed rows."""
         seen: set[int] = set()
-        held, count = [], 0
+        held, dealt, count = [], [], 0
 
         def flush():
             rows = np.concatenate(held)
-            p = (rows["h"] % np.uint64(parts)).astype(np.int64)
+            p = np.concatenate(dealt)
             order = np.argsort(p, kind="stable")
             rows, cuts = rows[order], np.searchsorted(p[order], np.arange(parts + 1))
             full = np.flatnonzero(np.diff(cuts))
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([rows[cuts[k] : cuts[k + 1]].tobytes() for k in full.tolist()], pa.binary())], ["p", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([packed(rows[cuts[k] : cuts[k + 1]]) for k in full.tolist()], pa.binary())], ["p", "v"])
 
         for batch in batches:
             for _, data, offsets in chunks(batch):
@@ -253,43 +296,41 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
                         continue
                     seen.add(node)
                     first = prefix(s, *heavy.value, percent)
-                    rows = np.empty(len(first), dtype=record)
-                    rows["h"], rows["node"], rows["size"] = first, node, len(s)
+                    rows = np.empty(len(first), dtype=POSTING)
+                    rows["h"], rows["node"], rows["size"], rows["at"] = (first // np.uint64(parts)).astype(np.uint32), node, len(s), np.arange(len(first))
                     held.append(rows)
+                    dealt.append((first % np.uint64(parts)).astype(np.int32))
                     count += len(rows)
                 if count > 500_000:
                     yield flush()
-                    held, count = [], 0
+                    held, dealt, count = [], [], 0
         if held:
             yield flush()
 
     def meet(t: pa.Table) -> pa.Table:
-        """Of postings that several nodes of sizes within the threshold share: each node and the leader of the group, counted; and the postings themselves."""
-        rows = np.unique(np.frombuffer(b"".join(t.column("v").to_pylist()), dtype=record))  # by h, then node
-        order = np.lexsort((rows["size"], rows["h"]))
-        h, size = rows["h"][order], rows["size"][order].astype(np.int64)
-        close = (h[1:] == h[:-1]) & (100 * size[:-1] >= percent * size[1:])
-        rows = rows[np.sort(order[np.concatenate((close, [False]))[: len(rows)] | np.concatenate(([False], close))[: len(rows)]])]
-        new = np.concatenate(([True], rows["h"][1:] != rows["h"][:-1]))
-        start = np.flatnonzero(new)
-        length = np.diff(np.append(start, len(rows)))
-        group = np.repeat(np.arange(len(start)), length)
-        live = length[group] > 1
-        rows, lead = rows[live], rows["node"][start[group]][live]
-        pairs, k = np.unique(np.stack([rows["node"], lead], axis=1)[rows["node"] != lead], axis=0, return_counts=True)
-        m = len(pairs)
-        nothing = np.zeros(len(rows), np.int64)
+        """Of postings that several nodes share which sizes and places let link: each node and the leader of the group, counted; and the postings themselves, each with its reach."""
+        rows = np.concatenate([unpacked(v, POSTING) for v in t.column("v").to_pylist()])
+        rows = rows[np.lexsort((rows["node"], rows["size"], rows["h"]))]
+        rows = rows[np.concatenate(([True], (rows["h"][1:] != rows["h"][:-1]) | (rows["node"][1:] != rows["node"][:-1])))]  # copies in several tasks
+        rows = rows[paired(rows, percent)]
+        start, node, size = starts(rows["h"]), rows["node"], rows["size"].astype(np.int64)
+        first = np.flatnonzero(start == np.arange(len(rows)))
+        lead = np.repeat(np.minimum.reduceat(node, first) if len(first) else node, np.diff(np.append(first, len(rows))))
+        pairs, k = np.unique(np.stack([node, lead], axis=1)[node != lead], axis=0, return_counts=True)
+        h = rows["h"].astype(np.int64) * parts + t.column("p")[0].as_py()
+        m, n_rows = len(pairs), len(rows)
         give_back()
         return pa.table({
-            "kind": np.concatenate((np.zeros(m, np.int32), np.ones(len(rows), np.int32))), "a": np.concatenate((pairs[:, 0], rows["node"])), "b": np.concatenate((pairs[:, 1], rows["h"].view(np.int64))),
-            "c": np.concatenate((k.astype(np.int64), rows["size"].astype(np.int64) if len(rows) else nothing)),
+            "kind": np.concatenate((np.zeros(m, np.int32), np.ones(n_rows, np.int32))), "a": np.concatenate((pairs[:, 0], node)), "b": np.concatenate((pairs[:, 1], h)),
+            "c": np.concatenate((k.astype(np.int64), reach(size, rows["at"], percent))),
         }, schema=pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())]))
 
     met = scratch.save(texts.mapInArrow(lean(postings), "p int, v binary").groupBy("p").applyInArrow(meet, "kind int, a long, b long, c long"), "met")
+    free_shuffles(spark)
     led = met.where("kind = 0").groupBy(F.col("a").alias("node"), F.col("b").alias("leader")).agg(F.sum("c").alias("k")).groupBy("node").agg(F.max_by("leader", F.struct("k", "leader")).alias("leader"))
     led = scratch.save(led, "led")
     # every node that shares a posting, with the document that stands for it
-    reps = docs.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    reps = docs.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"))
     alive = met.where("kind = 1").select(F.col("a").alias("node")).distinct()
     reps_alive = scratch.save(reps.join(alive, "node", "left_semi"), "reps")
 
@@ -311,8 +352,9 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
                 at = pa.array(keep, pa.int64())
                 yield pa.RecordBatch.from_arrays([*(c.take(at) for c in rest.columns), pa.array(bits, pa.binary())], [*rest.schema.names, "bits"])
 
-    placed_texts = texts.join(places, "doc_id").select("doc_id", "text", "node", "leader", "tile", "main")
-    nodes = scratch.save(placed_texts.mapInArrow(lean(described), "doc_id long, text string, node long, leader long, tile int, main boolean, bits binary"), "nodes")
+    placed_texts = texts.join(places, "doc_id").select("doc_id", "text", "node", "leader", "tile", "main", "size")
+    nodes = scratch.save(placed_texts.mapInArrow(lean(described), "doc_id long, text string, node long, leader long, tile int, main boolean, size long, bits binary"), "nodes")
+    free_shuffles(spark)
 
     def tile(t: pa.Table) -> pa.Table:
         t = t.sort_by("doc_id")
@@ -327,21 +369,41 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
 
     tiles = nodes.where("tile IS NOT NULL").select("leader", "tile", "doc_id", "text").groupBy("leader", "tile").applyInArrow(tile, "a long, b long")
     joined = scratch.save(tiles, "joined")
+    free_shuffles(spark)
 
     # postings of pairs that are still apart
     near = components(joined, scratch, "first")
-    placed = reps_alive.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("node", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    shared = met.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("h"), F.col("c").alias("size")).join(placed, "node")
+
+    def placed(last: DataFrame) -> DataFrame:
+        """node, component of all nodes that share postings."""
+        return reps_alive.join(last.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("component"))
+
+    def sift(t: pa.Table) -> pa.Table:
+        """Postings that hold several components, with how many nodes each has and the part it is dealt to."""
+        h, node, most, c = (t.column(k).to_numpy() for k in ("h", "node", "most", "component"))
+        order = np.argsort(h, kind="stable")
+        h, node, most, c = h[order], node[order], most[order], c[order]
+        start = starts(h)
+        first = np.flatnonzero(start == np.arange(len(h)))
+        length = np.diff(np.append(first, len(h)))
+        several = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
+        by = np.where(length <= TOGETHER, mix64(np.minimum.reduceat(node, first).view(np.uint64)), mix64(h[first].view(np.uint64))) % np.uint64(parts)
+        keep = np.repeat(several, length)
+        return pa.table({"h": h[keep], "node": node[keep], "most": most[keep], "k": np.repeat(length, length)[keep], "p": np.repeat(by.astype(np.int32), length)[keep]})
+
+    def apart(rows: DataFrame, last: DataFrame) -> DataFrame:
+        """Of postings (h, node, most) those that hold several components."""
+        return rows.join(placed(last), "node").groupBy(F.pmod("h", F.lit(parts)).alias("of")).applyInArrow(sift, "h long, node long, most long, k long, p int")
 
     def across(neighbours: int | None):
         def pairs(t: pa.Table) -> pa.Table:
-            """Pairs of the posting groups of one part, from different components, of sizes and bitmaps that let them link."""
+            """Pairs of the posting groups of one part, from different components, of sizes, places and bitmaps that let them link."""
             d, s, c = (t.column(k).to_numpy() for k in ("doc_id", "size", "component"))
-            lists = t.column("h").combine_chunks()
-            h, doc = lists.flatten().to_numpy(), np.repeat(np.arange(len(d)), lists.value_lengths().to_numpy())
+            lists = t.column("postings").combine_chunks()
+            (h, most), doc = (x.to_numpy() for x in lists.flatten().flatten()), np.repeat(np.arange(len(d)), lists.value_lengths().to_numpy())
             order = np.lexsort((d[doc], s[doc], h))
             out = [np.zeros((0, 5), np.int64)]
-            for i, j, slack in (p.T for p in posting_pairs(h[order], doc[order], c, Bitmaps(t.column("bits").to_pylist(), s), percent, neighbours)):
+            for i, j, slack in (p.T for p in posting_pairs(h[order], doc[order], c, Bitmaps(t.column("bits").to_pylist(), s), percent, neighbours, most[order])):
                 i, j = np.where(c[i] < c[j], i, j), np.where(c[i] < c[j], j, i)
                 out.append(np.stack([c[i], c[j], -slack, d[i], d[j]], axis=1))
             found = np.unique(np.concatenate(out), axis=0)  # by component pair, likeliest first
@@ -358,16 +420,11 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
             ok = [overlap(s, t) >= needed(len(s), len(t), percent) for s, t in zip(p, q)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
 
-    whole, bitmaps = nodes.where("main").select("doc_id", "text"), nodes.where("main").select("node", "bits")
-
-    def apart(rows: DataFrame) -> DataFrame:
-        """Rows (h, node, doc_id, size, component) of postings that hold several components."""
-        several = rows.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
-        return rows.join(several, "h", "left_semi").select("h", "node", "doc_id", "size", "component")
+    whole, bitmaps = nodes.where("main").select("doc_id", "text"), nodes.where("main").select("node", "doc_id", "size", "bits")
 
-    def late(rows: DataFrame, neighbours: int | None, name: str) -> DataFrame:
+    def late(rows: DataFrame, last: DataFrame, neighbours: int | None, name: str) -> DataFrame:
         """Components of the graph whose nodes are components, from the pairs between them that link."""
-        dealt = rows.groupBy("node", "doc_id", F.pmod("h", F.lit(parts)).alias("p")).agg(F.first("size").alias("size"), F.first("component").alias("component"), F.collect_list("h").alias("h")).join(bitmaps, "node").drop("node")
+        dealt = rows.repartition("node").groupBy("node", "p").agg(F.collect_list(F.struct("h", "most")).alias("postings")).join(bitmaps.join(placed(last), "node"), "node").drop("node")
         pairs = dealt.groupBy("p").applyInArrow(across(neighbours), "x long, y long, loose long, a long, b long")
         pairs = pairs.groupBy("x", "y").agg(F.min(F.struct("loose", "a", "b")).alias("m")).select("x", "y", "m.a", "m.b") if neighbours else pairs.select("x", "y", "a", "b").distinct()
         pairs = scratch.save(pairs, f"{name}-pairs")
@@ -376,15 +433,17 @@ def groups(documents: DataFrame, scratch: Scratch, percent: int = 80, n: int = 5
         linked = pairs.join(some.toDF("a", "text_a"), "a").join(some.toDF("b", "text_b"), "b").select("x", "y", "text_a", "text_b").mapInArrow(exact, "a long, b long")
         return components(linked, scratch, name)
 
-    rest = scratch.save(apart(shared), "apart")
-    large = rest.join(rest.groupBy("h").count().where(F.col("count") > NEAR).select("h"), "h", "left_semi")
+    rest = scratch.save(apart(met.where("kind = 1").select(F.col("b").alias("h"), F.col("a").alias("node"), F.col("c").alias("most")), near), "apart")
+    free_shuffles(spark)
+    large, small = rest.where(F.col("k") > NEAR), rest.where(F.col("k") <= NEAR)
     chance = F.xxhash64("h", "node")
-    some = large.groupBy("node", "doc_id").agg(F.first("size").alias("size"), F.first("component").alias("component"), F.min_by("h", chance).alias("h1"), F.max_by("h", chance).alias("h2"))
-    some = some.select("node", "doc_id", "size", "component", F.explode(F.array_distinct(F.array("h1", "h2"))).alias("h"))
-    second = late(some, NEAR, "second")
-    moved = lambda df, key: df.join(second.toDF(key, "to"), key, "left").withColumn(key, F.coalesce("to", key)).drop("to")
-    last = late(apart(moved(rest, "component")), None, "last")
-    near = moved(near, "component").select("node", "component").unionByName(second.join(near, "node", "left_anti"))
+    both = large.groupBy("node").agg(F.min_by(F.struct("h", "most", "p"), chance).alias("x"), F.max_by(F.struct("h", "most", "p"), chance).alias("y"))
+    some = both.select("node", F.explode(F.array_distinct(F.array("x", "y"))).alias("x")).select("node", "x.*")
+    second = late(some, near, NEAR, "second")
+    moved = near.join(second.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(second.join(near, "node", "left_anti"))
+    near = scratch.save(moved, "near")
+    last = late(apart(large.select("h", "node", "most"), near).unionByName(small), near, None, "last")
+    free_shuffles(spark)
     return docs, near, last
 
 

@@ -362,6 +362,35 @@ def test_jaccard_brute_force(spark, odd, none):
     assert jaccard.cluster(none).count() == 0
 
 
+def test_jaccard_places():
+    """Postings without a partner that sizes and places let link go; for every two sets that link the first shingle they share stays."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(20, 60)).astype(np.uint64)) for _ in range(60)]
+    sets += [np.unique(np.concatenate((s[: len(s) - 2], rng.integers(0, 60, 3).astype(np.uint64)))) for s in sets]
+    none = np.zeros(0, np.uint64)
+    rows = np.concatenate([np.array([(h, i, len(s), k) for k, h in enumerate(jaccard.prefix(s, none, none, 80))], dtype=jaccard.POSTING) for i, s in enumerate(sets)])
+    rows = rows[np.lexsort((rows["node"], rows["size"], rows["h"]))]
+    assert (jaccard.unpacked(jaccard.packed(rows), jaccard.POSTING) == rows).all()
+    old, jaccard.NEAR = jaccard.NEAR, 200
+    try:
+        kept = {(int(r["h"]), int(r["node"])) for r in rows[jaccard.paired(rows, 80)]}
+        jaccard.NEAR = 1
+        assert kept <= {(int(r["h"]), int(r["node"])) for r in rows[jaccard.paired(rows, 80)]}
+    finally:
+        jaccard.NEAR = old
+    want, linked = set(), 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = np.intersect1d(x, y)
+            link = len(both) >= jaccard.needed(len(x), len(y), 80)
+            linked += link
+            assert not link or {(int(both[0]), i), (int(both[0]), j)} <= kept
+            for h in set(x[: len(jaccard.prefix(x, none, none, 80))].tolist()) & set(y[: len(jaccard.prefix(y, none, none, 80))].tolist()):
+                if min(len(x) - (x < h).sum(), len(y) - (y < h).sum()) >= jaccard.needed(len(x), len(y), 80):
+                    want |= {(h, i), (h, j)}
+    assert linked and kept == want and len(kept) < len(rows)
+
+
 def test_jaccard_representatives_without_ids(spark, odd, none):
     w = [f"w{i}" for i in range(40)]
     a, near, b = " ".join(w), " ".join(w[:-1] + ["x"]), " ".join(f"v{i}" for i in range(40))
