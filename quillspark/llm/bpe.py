@@ -22,7 +22,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_rows, worker_cache
+from .common import lean, text_rows, worker_cache
 
 LONG = 256
 LEAF = 128
@@ -157,6 +157,11 @@ def encoder(path: str) -> Encoder:
     return cache[path]
 
 
+def split(text: str) -> list[str]:
+    """Stretches between white space; empty ones may stand at the ends."""
+    return text.split() if not ODD_SPACE.search(text) else re.split(r"[ \t\n\r\f\v]+", text)
+
+
 def encoded(texts: list[str], path: str) -> Iterator[tuple[str, str]]:
     """For each text its ids in decimal and its tokens, both joined by one space.
 
@@ -171,7 +176,7 @@ def encoded(texts: list[str], path: str) -> Iterator[tuple[str, str]]:
         names["token"] = [enc.token(k) for k in range(enc.whole.get_vocab_size())]
     token = names["token"]
     for text in texts:
-        stretches = text.split() if not ODD_SPACE.search(text) else re.split(r"[ \t\n\r\f\v]+", text)
+        stretches = split(text)
         missing = list({s for s in stretches if s and s not in cache})
         if missing:
             if len(cache) + len(missing) > KEPT:
@@ -212,16 +217,26 @@ def digest_documents(documents: DataFrame, path: str) -> DataFrame:
 
 
 def encode_ids(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (array) of every whole text: what training reads."""
+    """doc_id, n_tokens, ids (array) of every whole text: what training reads.  Workers keep the ids of a stretch as bytes, and no names of tokens."""
     import numpy as np
 
     def rows(batches: Iterator[pa.RecordBatch]):
+        enc, cache = encoder(path), worker_cache(f"bpe-ids-{path}")
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                got = [np.array(ids.split(), dtype=np.int32) for ids, _ in encoded(part.column(1).to_pylist(), path)]
-                size = np.array([len(x) for x in got], dtype=np.int64)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.concatenate(got)))
+                part, got = batch.slice(k, 64), []
+                for text in part.column(1).to_pylist():
+                    stretches = split(text)
+                    missing = list({s for s in stretches if s and s not in cache})
+                    if missing:
+                        if len(cache) + len(missing) > KEPT:
+                            cache.clear()
+                            missing = list({s for s in stretches if s})
+                        for s, ids in zip(missing, enc.encode(missing)):
+                            cache[s] = np.array(ids, dtype=np.int32).tobytes()
+                    got.append(b"".join([cache[s] for s in stretches if s]))
+                size = np.array([len(x) // 4 for x in got], dtype=np.int64)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.frombuffer(b"".join(got), dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), ids], ["doc_id", "n_tokens", "ids"])
 
-    return text_rows(documents).mapInArrow(rows, "doc_id long, n_tokens long, ids array<int>")
+    return text_rows(documents).mapInArrow(lean(rows), "doc_id long, n_tokens long, ids array<int>")

@@ -362,6 +362,31 @@ def test_jaccard_brute_force(spark, odd, none):
     assert jaccard.cluster(none).count() == 0
 
 
+def test_bpe_ids_workers_keep_ids_alone(spark, odd, tmp_path):
+    """encode_ids gives the library's ids; its workers keep no names of tokens, which only the decoded text needs."""
+    import shutil
+
+    from tokenizers import Tokenizer
+
+    path = shutil.copy(Q.vocabulary(), tmp_path / "own.json")  # a path that no other test has
+    got = bpe.encode_ids(odd.repartition(8), str(path)).collect()
+    whole = Tokenizer.from_file(str(path))
+    want = [(i, whole.encode(t or "", add_special_tokens=False).ids) for i, t, _ in ROWS]
+    assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(i), ids) for i, ids in want) and all(r.n_tokens == len(r.ids) for r in got)
+
+    def held(batches):
+        import sys
+
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([k for k in vars(sys.modules.get("_quillspark_worker", object))], pa.string())], ["k"])
+
+    keys = {r.k for r in spark.range(64).repartition(8).mapInArrow(held, "k string").collect()}
+    assert not {k for k in keys if "own.json" in k and "names" in k} and f"bpe-ids-{path}" in keys
+
+
 def test_jaccard_places():
     """Postings without a partner that sizes and places let link go; for every two sets that link the first shingle they share stays."""
     rng = np.random.default_rng(5)
