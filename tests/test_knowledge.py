@@ -46,6 +46,20 @@ def test_sinks(spark, tmp_path):
     assert json.loads(line) == {"_id": "1", "k": 1, "at": "2024-01-01 00:00:00", "price": "1.50"}
 
 
+def test_numbering_reads_alike(spark, tmp_path):
+    # ranges were sampled once for their sizes and once for their rows
+    spark.range(0, 200_000, 1, 16).select((F.col("id") * 7919 % 200_000).alias("k"), F.repeat(F.lit("x"), 40).alias("name")).write.parquet(str(tmp_path / "t"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    try:
+        spark.conf.set(key, "false")
+        sinks.numbered(spark.read.parquet(str(tmp_path / "t")), "k").write.parquet(str(tmp_path / "n"))
+    finally:
+        spark.conf.unset(key)
+    assert spark.read.parquet(str(tmp_path / "n")).agg(F.count(F.lit(1)), F.count(F.when(F.col("n") != F.col("k") + 1, 1))).first() == (200_000, 0)
+    odd = spark.createDataFrame([("b",), (None,), ("a",), ("c",)], "k string")
+    assert [r.k for r in sinks.numbered(odd, "k").orderBy("n").collect()] == [None, "a", "b", "c"] and sinks.numbered(odd.limit(0), "k").count() == 0
+
+
 def test_lenient_and_partial_json():
     for text, want in (('{"a": 1}', {"a": 1}), ('so: ```json\n{"a": {"b": 2}}\n``` end', {"a": {"b": 2}}), ('x {"a": "}"} y', {"a": "}"}), ('x {"a": {"b": 1}} {"c"', {"a": {"b": 1}}), ("none", None), ("{", None), (None, None)):
         assert P.lenient(text) == want
