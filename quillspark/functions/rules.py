@@ -133,13 +133,17 @@ def without_images(x: Column) -> Column:
     return F.regexp_replace(x, r"(?s)!\[.*?\]\(.*?\)", "")
 
 
-def extracted_variant(x: Column, variant: int) -> Column:
-    """v1: the text without image blocks and images; v2: and the captions; v3: and the notes; blank parts left out."""
+def extracted_variant(x: Column, variant: int, blank_base: bool = False) -> Column:
+    """v1: the whole text without image blocks and images; v2: and the captions; v3: and the notes; null for none.
+
+    Blank parts are left out; blank_base: the text itself stays even so.
+    """
     base = without_images(F.regexp_replace(x, r"(?s)<!--\s*TAI_VLM_BEGIN.*?TAI_VLM_END\s*-->", ""))
     if variant == 1:
-        return F.substring(base, 1, LONGEST_TEXT)
-    parts = [F.array(base), *[marked_bodies(x, m) for m in ("TAI_V2", "TAI_V3")[: variant - 1]]]
-    return F.substring(F.array_join(F.filter(F.concat(*parts), lambda s: s.rlike(r"\S")), "\n"), 1, LONGEST_TEXT)
+        return base
+    said = F.filter(F.concat(*[marked_bodies(x, m) for m in ("TAI_V2", "TAI_V3")[: variant - 1]]), lambda s: s.rlike(r"\S"))
+    first = F.array(base) if blank_base else F.filter(F.array(base), lambda s: s.rlike(r"\S"))
+    return F.when(x.isNotNull(), F.array_join(F.concat(first, said), "\n"))
 
 
 def page_variant(text: Column, captions: Column, notes: Column, variant: int) -> Column:

@@ -60,6 +60,20 @@ def test_numbering_reads_alike(spark, tmp_path):
     assert [r.k for r in sinks.numbered(odd, "k").orderBy("n").collect()] == [None, "a", "b", "c"] and sinks.numbered(odd.limit(0), "k").count() == 0
 
 
+def test_marked_variants_of_long_blank_and_missing(spark, tmp_path):
+    import duckdb
+
+    from quillspark.plans import catalogue
+
+    long = "word " * 8000  # longer than any cut
+    spark.createDataFrame([(1, long, "en", "s"), (2, " \n", "en", "s"), (3, None, "en", "s"), (4, "x", None, "s"), (5, "x", "en", None)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    sql = catalogue.oracle_sql()["marked_variants"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r.doc_id: tuple(r) for r in catalogue.queries()["marked_variants"](spark, str(tmp_path)).collect()}
+    assert got == {r[0]: r for r in duckdb.sql(sql).fetchall()} and got[1][1] == long + "\n"
+    get = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert get(R.extracted_variant(F.lit(" <!-- TAI_V2_BEGIN -->c<!-- TAI_V2_END -->"), 2)) == "c"  # by itself, a blank text is left out
+
+
 def test_lenient_and_partial_json():
     for text, want in (('{"a": 1}', {"a": 1}), ('so: ```json\n{"a": {"b": 2}}\n``` end', {"a": {"b": 2}}), ('x {"a": "}"} y', {"a": "}"}), ('x {"a": {"b": 1}} {"c"', {"a": {"b": 1}}), ("none", None), ("{", None), (None, None)):
         assert P.lenient(text) == want
