@@ -70,3 +70,23 @@ def test_half_up():
 
     x = np.array([0.0000005, 1.0000015, -0.0000025, 2.5e-7, -1e-9, NAN, INF, 12345678901.1234567])
     assert [repr(float(y)) for y in T.half_up(x, 6)] == ["1e-06", "1.000002", "-3e-06", "0.0", "0.0", "nan", "inf", "12345678901.123457"]
+
+
+def test_word_scores_by_blocks(spark, monkeypatch):
+    from quillspark.operators import lexical as L
+
+    monkeypatch.setattr(L, "BLOCK", 2)
+    docs = spark.createDataFrame([(1, "A b\x0bB\tc d"), (2, ""), (3, None), (4, "é É  x y b")], "id long, text string")
+    queries = spark.createDataFrame([(1, "b b É"), (2, None), (3, "  "), (4, "x y zz"), (5, "d")], "query_id long, query string")
+    got = {(r.query_id, r.id): r.score for r in V.tf_overlap(docs, queries).collect()}
+    assert len(got) == 20 and {k: x for k, x in got.items() if x} == {(1, 1): 0.4, (1, 4): 0.75, (4, 4): 0.25, (5, 1): 0.2}
+    bm = {(r.query_id, r.id): r.score for r in V.bm25(docs, queries).collect()}
+    assert set(bm) == {(1, 1), (1, 4), (4, 4), (5, 1)}
+    # 4 documents, 3 with a text, 3 words on average; "b" stands in two of them
+    import math
+
+    part = lambda df, tf, n: math.log(1 + (4 - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / 3))
+    assert bm[(1, 4)] == pytest.approx(part(2, 1, 4) + part(1, 2, 4), abs=1e-6) and bm[(5, 1)] == pytest.approx(part(1, 1, 5), abs=1e-6)
+    assert V.bm25(docs, queries.limit(0)).count() == 0
+    for df in (V.tf_overlap(docs, queries), V.bm25(docs, queries)):  # pairs are neither joined nor shuffled
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
