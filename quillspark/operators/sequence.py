@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def islands(df: DataFrame, by: list[str], order: list[str], starts: Column, name: str) -> DataFrame:
@@ -83,20 +85,50 @@ def budget_groups(df: DataFrame, by: str, order: str, speaker: str, at: str, tex
 def sentences_of_lines(df: DataFrame, by: str, order: str, limit: int = 10) -> DataFrame:
     """Lines (by, order, block, size, y, text) merged to sentences: same block, no terminal mark before, gap of at most two line sizes, fewer than `limit` lines."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
+    def fold(lines: list[dict]) -> list[dict]:
+        out: list[dict] = []
         before = None
-        for r in pdf.sort_values(order).itertuples():
-            joins = before is not None and r.block == before.block and not before.text.rstrip().endswith((".", "!", "?")) and abs(r.y - before.y) <= 2 * before.size and out[-1][3] < limit
+        for r in lines:
+            joins = before is not None and r["block"] == before["block"] and not before["text"].rstrip().endswith((".", "!", "?")) and abs(r["y"] - before["y"]) <= 2 * before["size"] and out[-1]["n_lines"] < limit
             if joins:
-                out[-1][2] += " " + r.text.strip()
-                out[-1][3] += 1
+                out[-1]["text"] += " " + r["text"].strip()
+                out[-1]["n_lines"] += 1
             else:
-                out.append([getattr(r, by), len(out), r.text.strip(), 1])
+                out.append({"sentence": len(out), "text": r["text"].strip(), "n_lines": 1})
             before = r
-        return pd.DataFrame(out, columns=[by, "sentence", "text", "n_lines"])
+        return out
+
+    return folded(df, by, [order, "block", "size", "y", "text"], fold, "sentence int, text string, n_lines int")
+
+
+def folded(df: DataFrame, by: str, columns: list[str], fold: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
+    """What a fold over each group's rows, in order of the first of the columns, makes of them: by, and the columns of the schema.
+
+    Groups come as arrays, many to a batch: a group of a few rows costs no call of its own between Spark and Python.
+    """
+    lists = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
+    empty = df.sparkSession.createDataFrame([], schema).schema
+    out = T.StructType([df.schema[by], T.StructField("rows", T.ArrayType(empty))])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                made = [fold(rows) for rows in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, arrow.field("rows").type)], names=[by, "rows"])
+
+    return lists.mapInArrow(run, out).select(by, F.explode("rows").alias("r")).select(by, "r.*")
+
+
+def levels_repaired(headings: DataFrame, by: str, order: str) -> DataFrame:
+    """Headings (by, order, level) with levels without jumps."""
+    repaired = repaired_levels  # the function alone travels, not its module
+
+    def fold(rows: list[dict]) -> list[dict]:
+        return [{order: r[order], "level": n} for r, n in zip(rows, repaired([r["level"] for r in rows]))]
 
-    return df.groupBy(by).applyInPandas(fold, f"{by} long, sentence int, text string, n_lines int")
+    return folded(headings, by, [order, "level"], fold, f"{order} {headings.schema[order].dataType.simpleString()}, level int")
 
 
 def repaired_levels(levels: list[int]) -> list[int]:

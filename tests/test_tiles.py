@@ -125,3 +125,15 @@ def test_concepts_stay_in_their_row(spark, tmp_path):
     spark.createDataFrame([(1, "b A a  B c d e f g h i j k"), (2, "  "), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     df = catalogue.queries()["capped_concepts"](spark, str(tmp_path))
     assert [tuple(r) for r in df.collect()] == [(1, "b A c d e f g h i j")] and "Aggregate" not in _plan(df) and "Window" not in _plan(df)
+
+
+def test_levels_and_sentences_come_in_batches(spark):
+    """Each group was a call of its own between Spark and Python."""
+    from quillspark.operators import sequence as S
+
+    h = spark.createDataFrame([(1, 3, 3), (1, 1, 1), (1, 2, 3), (2, 1, 5)], "f long, n long, level int")
+    df = S.levels_repaired(h, "f", "n")
+    assert sorted(map(tuple, df.collect())) == [(1, 1, 1), (1, 2, 2), (1, 3, 2), (2, 1, 5)] and "FlatMapGroups" not in _plan(df)
+    lines = spark.createDataFrame([(1, 2, 0, 10.0, 12.0, " b. "), (1, 1, 0, 10.0, 0.0, "a"), (1, 3, 0, 10.0, 24.0, "c"), (2, 1, 0, 10.0, 0.0, "d"), (2, 2, 0, 10.0, 90.0, "e")], "f long, n long, block int, size double, y double, text string")
+    df = S.sentences_of_lines(lines, "f", "n")
+    assert sorted(map(tuple, df.collect())) == [(1, 0, "a b.", 2), (1, 1, "c", 1), (2, 0, "d", 1), (2, 1, "e", 1)] and "FlatMapGroups" not in _plan(df)
