@@ -4,33 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.rules import by_folder
 from .sequence import ordered_text
 
 
-def predicted(rows: DataFrame, predict: Callable[[list], list], inputs: list[str], name: str = "prediction", batch: int = 10) -> DataFrame:
-    """A column of what predict gives for lists of at most `batch` inputs (tuples); a fault of the model is a null with its text beside it."""
-    wanted = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, `{name}` string, `{name}_error` string"
+#: Rows that are Python objects at once.
+AT_ONCE = 200
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out, faults = [], []
-            for at in range(0, len(frame), batch):
-                asked = list(frame[inputs].iloc[at : at + batch].itertuples(index=False, name=None))
-                try:
-                    got, fault = list(predict(asked)), None
-                    if len(got) != len(asked):
-                        raise ValueError(f"{len(got)} answers to {len(asked)} inputs")
-                except Exception as e:  # noqa: BLE001 - one batch's fault is a result of its rows
-                    got, fault = [None] * len(asked), str(e)
-                out += got
-                faults += [fault] * len(asked)
-            yield frame.assign(**{name: out, f"{name}_error": faults})
 
-    return rows.mapInPandas(run, wanted)
+def predicted(rows: DataFrame, predict: Callable[[list], list], inputs: list[str], name: str = "prediction", batch: int = 10, keep: list[str] | None = None) -> DataFrame:
+    """A column of what predict gives for lists of at most `batch` inputs (tuples); a fault of the model is a null with its text beside it.
+
+    keep: the columns that come back, all by default; long inputs needn't.
+    """
+    keep = rows.columns if keep is None else keep
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField(name, T.StringType()), T.StructField(f"{name}_error", T.StringType())])
+    size = batch * max(1, AT_ONCE // batch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), size):
+                part = whole.slice(start, size)
+                said, out, faults = [part.column(c).to_pylist() for c in inputs], [], []
+                for at in range(0, len(part), batch):
+                    asked = list(zip(*(c[at : at + batch] for c in said)))
+                    try:
+                        got, fault = list(predict(asked)), None
+                        if len(got) != len(asked):
+                            raise ValueError(f"{len(got)} answers to {len(asked)} inputs")
+                    except Exception as e:  # noqa: BLE001 - one batch's fault is a result of its rows
+                        got, fault = [None] * len(asked), str(e)
+                    out += got
+                    faults += [fault] * len(asked)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(out, pa.string()), pa.array(faults, pa.string())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def classified(rows: DataFrame, path: str, rules: dict[str, list[str]], classify: Callable[[list], list], inputs: list[str], batch: int = 10) -> DataFrame:
@@ -45,10 +56,10 @@ def summarised(chunks: DataFrame, by: str, order: str, text: str, summarise: Cal
 
     Chunks are summarised wherever they lie, so a long file is no task of its own.
     """
-    said = lambda rows: predicted(rows, lambda asked: [summarise(t) for (t,) in asked], ["t"], "s").drop("s_error")
+    said = lambda rows: predicted(rows, lambda asked: [summarise(t) for (t,) in asked], ["t"], "s", keep=[c for c in rows.columns if c != "t"]).drop("s_error")
     size = chunks.groupBy(by).agg((F.sum(F.length(F.coalesce(text, F.lit("")))) + F.count(F.lit(1)) - 1).alias("size"))
     sized = chunks.select(by, F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t")).join(size, by)
-    parts = sized.where(F.col("size") <= most).unionByName(said(sized.where(F.col("size") > most)).withColumn("t", F.col("s")).drop("s"))
+    parts = sized.where(F.col("size") <= most).unionByName(said(sized.where(F.col("size") > most)).withColumnRenamed("s", "t"))
     whole = parts.groupBy(by, "size").agg(ordered_text("t", "o", "\n").alias("t"))
     long = said(whole.where(F.col("size") > short)).select(by, F.col("s").alias("summary"))
     return whole.where(F.col("size") <= short).select(by, F.col("t").alias("summary")).unionByName(long)

@@ -137,3 +137,19 @@ def test_levels_and_sentences_come_in_batches(spark):
     lines = spark.createDataFrame([(1, 2, 0, 10.0, 12.0, " b. "), (1, 1, 0, 10.0, 0.0, "a"), (1, 3, 0, 10.0, 24.0, "c"), (2, 1, 0, 10.0, 0.0, "d"), (2, 2, 0, 10.0, 90.0, "e")], "f long, n long, block int, size double, y double, text string")
     df = S.sentences_of_lines(lines, "f", "n")
     assert sorted(map(tuple, df.collect())) == [(1, 0, "a b.", 2), (1, 1, "c", 1), (2, 0, "d", 1), (2, 1, "e", 1)] and "FlatMapGroups" not in _plan(df)
+
+
+def test_long_inputs_do_not_come_back(spark):
+    from quillspark.operators import models as M
+
+    rows = spark.range(0, 450, 1, 1).select("id", F.repeat(F.lit("x"), 30).alias("t"))
+
+    def model(asked):
+        assert len(asked) <= 10
+        if asked[0][0] is None:
+            raise ValueError("none")
+        return [str(len(t)) for (t,) in asked]
+
+    df = M.predicted(rows, model, ["t"], "s", keep=["id"])
+    assert df.columns == ["id", "s", "s_error"] and df.where("s = '30' AND s_error IS NULL").count() == 450
+    assert M.predicted(rows.withColumn("t", F.lit(None).cast("string")), model, ["t"]).where("prediction_error = 'none' AND t IS NULL").count() == 450
