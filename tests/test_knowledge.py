@@ -71,7 +71,7 @@ def test_marked_variants_of_long_blank_and_missing(spark, tmp_path):
     got = {r.doc_id: tuple(r) for r in catalogue.queries()["marked_variants"](spark, str(tmp_path)).collect()}
     assert got == {r[0]: r for r in duckdb.sql(sql).fetchall()} and got[1][1] == long + "\n"
     get = lambda c: spark.range(1).select(c.alias("x")).first().x
-    assert get(R.extracted_variant(F.lit(" <!-- TAI_V2_BEGIN -->c<!-- TAI_V2_END -->"), 2)) == "c"  # by itself, a blank text is left out
+    assert get(R.extracted_variant(F.lit(" <!-- TAI_VLM_BEGIN --><!-- TAI_V2_BEGIN -->c<!-- TAI_V2_END --><!-- TAI_VLM_END -->"), 2)) == "c"  # by itself, a blank text is left out
 
 
 def test_lenient_and_partial_json():
